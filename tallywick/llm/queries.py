@@ -6,10 +6,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, merkle, token_counts, transducer
+from . import chat, merkle, simhash, suffix_dedup, token_counts, transducer
 from .shared import table
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_strings(table(spark, sf_dir, "documents"), keep_text=False)
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.sql(
         "SELECT CAST(-7 AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0, 'user'), (1, 'assistant') AS v(turn, role)"
@@ -26,14 +30,20 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transducer.encode_digests(table(spark, sf_dir, "documents"))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digests(simhash.near_duplicates(table(spark, sf_dir, "documents")))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
     return {
+        "op1_suffix_dedup": op1_suffix_dedup,
         "op3_chat_format": op3_chat_format,
         "op4_fingerprints": op4_fingerprints,
         "op5_bpe": op5_bpe,
+        "op8_simhash": op8_simhash,
         "op9_token_counts": op9_token_counts,
     }

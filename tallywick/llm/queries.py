@@ -6,14 +6,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, merkle, simhash, suffix_dedup, token_counts, transducer
-from .shared import table
+from . import chat, decontaminate, langid, merkle, quality, simhash, suffix_dedup, token_counts, transducer
+from .shared import crc_mod, table
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_strings(table(spark, sf_dir, "documents"), keep_text=False)
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    weights = quality.train(docs, table(spark, sf_dir, "labels"), crc_mod(F.col("doc_id"), 5) != 0)
+    scored = quality.score(docs, weights)
+    return scored.select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.sql(
         "SELECT CAST(-7 AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0, 'user'), (1, 'assistant') AS v(turn, role)"
@@ -30,6 +37,12 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transducer.encode_digests(table(spark, sf_dir, "documents"))
 
 
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.predict(docs, langid.train(docs, crc_mod(F.col("doc_id"), 5) != 0))
+    return found.select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digests(simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
@@ -38,12 +51,19 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
     return {
         "op1_suffix_dedup": op1_suffix_dedup,
+        "op2_quality": op2_quality,
         "op3_chat_format": op3_chat_format,
         "op4_fingerprints": op4_fingerprints,
         "op5_bpe": op5_bpe,
+        "op6_langid": op6_langid,
         "op8_simhash": op8_simhash,
         "op9_token_counts": op9_token_counts,
+        "op10_decontaminate": op10_decontaminate,
     }

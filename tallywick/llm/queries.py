@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, merkle, quality, simhash, suffix_dedup, token_counts, transducer
+from . import chat, decontaminate, langid, lm, merkle, quality, simhash, suffix_dedup, token_counts, transducer
 from .shared import crc_mod, table
 
 
@@ -43,6 +43,10 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 10) == 0)
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digests(simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
@@ -63,6 +67,7 @@ def queries() -> dict:
         "op4_fingerprints": op4_fingerprints,
         "op5_bpe": op5_bpe,
         "op6_langid": op6_langid,
+        "op7_lm_score": op7_lm_score,
         "op8_simhash": op8_simhash,
         "op9_token_counts": op9_token_counts,
         "op10_decontaminate": op10_decontaminate,

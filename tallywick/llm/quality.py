@@ -146,3 +146,18 @@ def score(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD, ca
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *carry, F.col("text").cast("string").alias("_text"))
     schema = rows.drop("_text").schema.add("score", T.DoubleType()).add("predicted", T.IntegerType())
     return rows.mapInArrow(run, schema)
+
+
+def keep_good(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score at least ``threshold``, all columns as
+    they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
+
+    def run(batches):
+        w = shared.value.astype(np.float64)
+        for whole in batches:
+            for batch in slices(whole, text_col):
+                s = scores_of(w, *utf8(batch.column(batch.schema.get_field_index(text_col))))
+                yield batch.filter(pa.array(s >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

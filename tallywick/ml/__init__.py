@@ -1,0 +1 @@
+"""Clustering, churn models and explanations on Spark ML and SQL."""

@@ -1,0 +1 @@
+"""Continuous refresh of the customer rollup."""

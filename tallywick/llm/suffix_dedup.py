@@ -52,7 +52,7 @@ from .shared import shuffle_width
 
 LENGTH, CONTEXT = 200, 64
 #: Bytes of a rolling-hash window; rates of the two kinds of triggers, as powers of two.
-WINDOW, SPARSE, DENSE = 16, 5, 2
+WINDOW, SPARSE, DENSE = 16, 6, 4
 #: Bytes of text in a block on average.
 BLOCK_BYTES = 8 << 20
 

@@ -67,8 +67,13 @@ class ClusteringEngine:
         return best.transform(x), [c.tolist() for c in best.clusterCenters()], best.summary.trainingCost
 
     def mixture(self, x: DataFrame, k: int) -> tuple[DataFrame, list[list[float]]]:
-        model = GaussianMixture(k=k, seed=self.seed, featuresCol="features", predictionCol="cluster", probabilityCol="_p").fit(x)
-        return model.transform(x).drop("_p"), [g.mean.toArray().tolist() for g in model.gaussians]
+        """The likeliest of ``n_init`` starts."""
+        best = None
+        for s in range(self.n_init):
+            model = GaussianMixture(k=k, seed=self.seed + s, featuresCol="features", predictionCol="cluster", probabilityCol="_p").fit(x)
+            if best is None or model.summary.logLikelihood > best.summary.logLikelihood:
+                best = model
+        return best.transform(x).drop("_p"), [g.mean.toArray().tolist() for g in best.gaussians]
 
     def ward(self, x: DataFrame, k: int) -> DataFrame:
         """Agglomerative clusters; for ``WARD_MOST`` rows at most."""

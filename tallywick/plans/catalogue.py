@@ -312,6 +312,94 @@ def risk_tiers(spark, sf_dir):
     return _scored(spark, sf_dir).groupBy(metrics.risk_tier(F.col("score")).alias("tier")).agg(F.count("*").alias("customers"))
 
 
+def sample_orders(spark, sf_dir):
+    from ..sources.sample import generate_orders
+
+    return generate_orders(spark)
+
+
+def _vector_columns(spark, sf_dir, width=8):
+    e = table(spark, sf_dir, "embeddings")
+    return e.select("vec_id", *[F.element_at("embedding", k + 1).cast("double").alias(f"e{k}") for k in range(width)]), [f"e{k}" for k in range(width)]
+
+
+def _clusters(algorithm, **options):
+    def query(spark, sf_dir):
+        from ..ml.cluster import ClusteringEngine
+
+        df, columns = _vector_columns(spark, sf_dir)
+        return ClusteringEngine(n_init=2).fit(df, columns, algorithm, **options).labelled.select("vec_id", "cluster")
+
+    return query
+
+
+def pca_2d(spark, sf_dir):
+    from ..ml.cluster import ClusteringEngine
+
+    df, columns = _vector_columns(spark, sf_dir)
+    return ClusteringEngine().projection(df, columns, 2).select("vec_id", "pc1", "pc2")
+
+
+CHURN_FEATURES = ["frequency", "monetary", "avg_order_value", "tenure", "gap"]
+
+
+def _customers(spark, sf_dir):
+    """Features up to 1998 and whether the customer then stayed away for four months."""
+    rows = order_lines(spark, sf_dir)
+    before = rows.where("order_date < timestamp_ntz'1999-01-01'")
+    base = rollup.rfm_base(before, F.lit(datetime(1999, 1, 1)).cast("timestamp_ntz"), CENTS)
+    later = rows.where("order_date >= timestamp_ntz'1999-01-01' and order_date < timestamp_ntz'1999-05-01'").select("customer_id").distinct().withColumn("_back", F.lit(1))
+    tenure = F.timestamp_diff("DAY", F.col("first_order"), F.col("last_order"))
+    return base.join(later, "customer_id", "left").select(
+        "customer_id", F.col("frequency").cast("double").alias("frequency"), "monetary", "avg_order_value", tenure.cast("double").alias("tenure"),
+        F.try_divide(tenure.cast("double"), F.col("frequency")).alias("gap"), F.col("_back").isNull().cast("int").alias("churned"),
+    )
+
+
+def _fit(kind):
+    def query(spark, sf_dir):
+        from ..ml.churn import ChurnPredictor
+
+        df = _customers(spark, sf_dir)
+        model = ChurnPredictor(trees=10, folds=2).train(df, "churned", CHURN_FEATURES, kind=kind)
+        return model.predict(df).select("customer_id", "score", "predicted", "risk")
+
+    return query
+
+
+def grid_search(spark, sf_dir):
+    from ..ml.churn import ChurnPredictor
+
+    _, found = ChurnPredictor(folds=2).grid_search(_customers(spark, sf_dir), "churned", CHURN_FEATURES, small=True)
+    return spark.createDataFrame([(p["numTrees"], p["maxDepth"], float(a)) for p, a in found], "trees int, depth int, auc double")
+
+
+LINEAR = {"frequency": 0.25, "avg_order_value": -0.5}
+
+
+def _linear(spark, sf_dir):
+    from ..ml.explain import explain_linear
+
+    base = _base(spark, sf_dir).select("customer_id", "frequency", round_even(F.col("avg_order_value"), 2).alias("avg_order_value"))
+    return explain_linear(base, LINEAR, 1.0, most=1_000_000)
+
+
+def shap_linear(spark, sf_dir):
+    return _linear(spark, sf_dir).values.groupBy("feature").agg(F.count("*").alias("n"), round_even(F.max("shap_value"), 4).alias("most"), round_even(F.min("shap_value"), 4).alias("least"))
+
+
+def shap_importance(spark, sf_dir):
+    return _linear(spark, sf_dir).importance.select("feature", round_even(F.col("importance"), 4).alias("importance"), round_even(F.col("std"), 4).alias("std"))
+
+
+def shap_permutation(spark, sf_dir):
+    from ..ml.explain import explain_permutation
+
+    base = _base(spark, sf_dir).select("frequency", "avg_order_value")
+    score = lambda x: x.withColumn("score", F.lit(1.0) + 0.25 * F.col("frequency") - 0.5 * F.col("avg_order_value"))
+    return explain_permutation(base, score, ["frequency", "avg_order_value"], most=1000).values
+
+
 def queries() -> dict:
     return {
         "contract_projection": contract_projection,
@@ -366,6 +454,20 @@ def queries() -> dict:
         "roc_auc": roc_auc,
         "risk_tiers": risk_tiers,
         "bgnbd_clv": bgnbd_clv,
+        "sample_orders": sample_orders,
+        "kmeans_fit": _clusters("kmeans", n_clusters=5),
+        "gmm_fit": _clusters("gmm", n_clusters=5),
+        "dbscan_fit": _clusters("dbscan", eps=2.0, min_samples=5),
+        "ward_fit": _clusters("hierarchical", n_clusters=5),
+        "pca_2d": pca_2d,
+        "rf_fit": _fit("rf"),
+        "gbt_fit": _fit("gb"),
+        "stacking_fit": _fit("stacking"),
+        "calibrated_rf": _fit("calibrated"),
+        "grid_search": grid_search,
+        "shap_linear": shap_linear,
+        "shap_importance": shap_importance,
+        "shap_permutation": shap_permutation,
     }
 
 

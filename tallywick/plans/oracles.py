@@ -76,6 +76,10 @@ SCORED = f"{BASE}, s AS (SELECT customer_id, CAST(recency_days > 120 AS INTEGER)
 COUNTS = f"{SCORED}, per AS (SELECT score, count(*) FILTER (label = 1) AS pos, count(*) FILTER (label = 0) AS neg FROM s GROUP BY score), c AS (SELECT *, sum(pos) OVER (ORDER BY score DESC) AS tp, sum(neg) OVER (ORDER BY score DESC) AS fp, sum(pos) OVER () AS p, sum(neg) OVER () AS n FROM per)"
 
 
+EFFECTS = f"""{BASE}, v AS (SELECT CAST(frequency AS DOUBLE) AS f, {r('monetary / frequency', 2)} AS a FROM base), m AS (SELECT avg(f) AS mf, avg(a) AS ma FROM v),
+l AS (SELECT 'frequency' AS feature, 0.25::DOUBLE * (f - mf) AS s FROM v, m UNION ALL SELECT 'avg_order_value', -0.5::DOUBLE * (a - ma) FROM v, m)"""
+
+
 def _scaled(centre, width):
     return f"WITH {GAPS}, z AS (SELECT {', '.join(f'{centre.format(c=c)} AS {c}_m, {width.format(c=c)} AS {c}_w' for c in ('quantity', 'price', 'discount'))} FROM f) SELECT line, " + ", ".join(
         f"{r(f'avg(({c} - {c}_m) / {c}_w)', 5)} AS {c}" for c in ("quantity", "price", "discount")
@@ -138,4 +142,6 @@ SQL = {
     "pr_points": f"WITH {COUNTS} SELECT score AS threshold, tp / (tp + fp) AS precision, tp / p AS recall FROM c",
     "roc_auc": f"WITH {COUNTS} SELECT {r('sum(neg * (tp - pos + pos / 2)) / (max(p) * max(n))', 8)} AS auc FROM c",
     "risk_tiers": f"WITH {SCORED} SELECT CASE WHEN score < 0.3 THEN 'Low' WHEN score < 0.7 THEN 'Medium' ELSE 'High' END AS tier, count(*) AS customers FROM s GROUP BY 1",
+    "shap_linear": f"WITH {EFFECTS} SELECT feature, count(*) AS n, {r('max(s)', 4)} AS most, {r('min(s)', 4)} AS least FROM l GROUP BY feature",
+    "shap_importance": f"WITH {EFFECTS} SELECT feature, {r('avg(abs(s))', 4)} AS importance, {r('stddev_pop(s)', 4)} AS std FROM l GROUP BY feature",
 }

@@ -20,7 +20,7 @@ def agrees(result):
 
 
 def test_algorithms_find_blobs(blobs):
-    engine = cluster.ClusteringEngine(n_init=2, k_range=(2, 4))
+    engine = cluster.ClusteringEngine(n_init=5, k_range=(2, 4))
     for name in ("kmeans", "gmm", "hierarchical"):
         got = engine.fit(blobs, ["x", "y"], name, n_clusters=3)
         assert agrees(got) and got.n_clusters == 3 and got.metrics["silhouette"] > 0.8, name
@@ -100,7 +100,7 @@ def test_stacking_and_grid(customers):
     got = predictor.train(customers, "churned", ["a", "b"], kind="stacking")
     assert got.metrics["roc_auc"] > 0.8 and len(got.importance) == 2
     model, table = churn.ChurnPredictor(folds=2).grid_search(customers.fillna(0.0), "churned", ["a", "b"], small=True)
-    assert len(table) == 3 and max(a for _, a in table) > 0.8 and model is not None
+    assert len(table) == 2 and max(a for _, a in table) > 0.8 and model is not None
 
 
 def test_explanations(customers):

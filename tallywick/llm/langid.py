@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .kernels import lower, slices, utf8, window_hashes
 
 BITS, WIDTH = 15, 16
-PER_LANGUAGE, LANGUAGES_MOST = 800, 256
+PER_LANGUAGE, LANGUAGES_MOST, CUT_TIMES = 800, 256, 3
 EPOCHS, BATCH, RATE = 6, 32, 2.0
 REJECT = 0.005
 UNKNOWN = "und"
@@ -53,6 +53,11 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
+def _hash_bound(share: float) -> int:
+    """The 64-bit signed hash that about ``share`` of all ids stay below."""
+    return min((1 << 63) - 1, int(share * 2.0**64) - (1 << 63))
+
+
 class Model:
     """languages, the logits that each bucket adds, bias, temperature, least score."""
 
@@ -113,14 +118,15 @@ def train(docs: DataFrame, keep: Column, per_language: int = PER_LANGUAGE) -> Mo
     ``LANGUAGES_MOST`` most frequent languages, go to one training task."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("lang").cast("string").alias("lang"))
     known = rows.where(F.col("lang").isNotNull() & F.coalesce(keep, F.lit(False)))
-    top = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES_MOST)
-    languages = sorted(r.lang for r in top.collect())
+    dice = F.xxhash64("doc_id")
+    top = known.groupBy("lang").agg(F.count(F.lit(1)).alias("count"), F.min(dice).alias("least")).orderBy(F.desc("count"), "lang").limit(LANGUAGES_MOST).collect()
+    languages = sorted(r.lang for r in top)
     if not languages:
         return None
-    # the limit works before the shuffle too: a task sends per_language ids of a language at most
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = known.where(F.col("lang").isin(languages)).select("doc_id", "lang").withColumn("_rank", rank).where(F.col("_rank") <= per_language).select("doc_id", F.col("lang").alias("_lang"))
-    sample = rows.join(F.broadcast(chosen), "doc_id").where(F.col("lang") == F.col("_lang"))
+    # a language's rows of small id hash, several times as many as are ranked; its least hash stays even if all its rows share one id
+    bounds = F.create_map(*[F.lit(x) for r in top for x in (r.lang, max(r.least, _hash_bound(CUT_TIMES * per_language / r["count"])))])
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(dice, "doc_id", F.xxhash64("text")))
+    sample = known.where(dice <= bounds[F.col("lang")]).withColumn("_rank", rank).where(F.col("_rank") <= per_language)
     number = {g: k for k, g in enumerate(languages)}
 
     def learn(table: pa.Table) -> pa.Table:

@@ -70,17 +70,17 @@ def fingerprints_of(buf: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE
     return np.packbits(set_bits, axis=1).view(">u8").ravel().astype(np.uint64)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fp (the 64 bits as a signed long) of every row."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, fp (the 64 bits as a signed long) and the long columns ``carry`` of every row."""
 
     def run(batches):
         for whole in batches:
             for batch in slices(whole, "text"):
                 fp = fingerprints_of(*utf8(batch.column(1)), shingle=shingle)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64)), *batch.columns[2:]], ["doc_id", "fp", *carry])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *carry)
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "fp", *carry)))
 
 
 def _half_keys(fps: DataFrame) -> DataFrame:
@@ -197,12 +197,18 @@ def links(fps: DataFrame, bits: int = BITS, group: int = GROUP) -> DataFrame:
     return found.where("kind = 0").select("a", "b").unionByName(meet(_quarter_keys(large), None).select("a", "b"))
 
 
+def _named(fps: DataFrame, bits: int) -> DataFrame:
+    """fp, least (its least doc_id) and root (the fingerprint that stands for
+    its component) of the distinct fingerprints."""
+    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    stars = components(links(distinct.select("fp"), bits))
+    return distinct.join(stars, distinct["fp"] == stars["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
     """One row per row of ``docs``: doc_id, fp, component_id."""
     fps = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    stars = components(links(distinct.select("fp"), bits))
-    named = distinct.join(stars, distinct["fp"] == stars["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = _named(fps, bits)
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = named.join(least, "root").select("fp", "component_id")
     return fps.join(classes, "fp").select("doc_id", "fp", "component_id")
@@ -213,7 +219,13 @@ def digests(found: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id names its component: one document of each
-    group of near copies.  Rows without id can't be told apart and all stay."""
-    kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    """One row of each group of near copies: that of least id, a row without id
+    only where none has one.  Rows are told apart by two hashes of all their
+    columns, not by their id; of wholly equal rows one stays."""
+    keys = ("row_a", "row_b")
+    row = [F.struct(*docs.columns), *(F.col(c).isNull() for c in docs.columns)]
+    keyed = docs.withColumns({"row_a": F.xxhash64(*row), "row_b": F.xxhash64(F.lit(1), *row)})
+    fps = written(fingerprints(keyed, carry=keys), "fingerprints")
+    rows = fps.join(_named(fps, BITS).select("fp", "root"), "fp")
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", *keys)).alias("m"))
+    return keyed.join(first.select("m.row_a", "m.row_b"), list(keys), "left_semi").dropDuplicates(list(keys)).select(*docs.columns)

@@ -1,8 +1,9 @@
 """BG/NBD and Gamma-Gamma by maximum likelihood.
 
-Spark reduces customers to counted sufficient statistics; a bounded number of
-them (``FIT_ROWS``, those of least hash) is fitted with a simplex search on the
-driver, and every customer is scored in an Arrow function.
+Spark reduces customers to counted sufficient statistics, all of which are fitted
+with a simplex search.  Up to ``FIT_ROWS`` of them come to the driver; more stay
+in Spark, each step of the search is then an aggregation over all of them, and
+only its sums reach the driver.  Every customer is scored in an Arrow function.
 """
 
 from __future__ import annotations
@@ -13,6 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.lineage import materialised
+
+#: Groups over which the fit goes from the driver to Spark, which sees the same groups.
 PENALTY, FIT_ROWS = 0.01, 50_000
 
 
@@ -71,36 +75,75 @@ def simplex(f, start: np.ndarray, steps: int = 2000, tolerance: float = 1e-9) ->
     return points[int(np.argmin(values))]
 
 
-def bgnbd_loss(log_params: np.ndarray, x, tx, t, weight) -> float:
-    r, alpha, a, b = np.exp(np.clip(log_params, -12, 12))
+def _params(log_params: np.ndarray) -> np.ndarray:
+    return np.exp(np.clip(log_params, -12, 12))
+
+
+def _penalty(log_params: np.ndarray) -> float:
+    return PENALTY * np.sum(np.exp(2 * np.clip(log_params, -12, 12)))
+
+
+def bgnbd_like(log_params: np.ndarray, x, tx, t) -> np.ndarray:
+    r, alpha, a, b = _params(log_params)
     base = lgamma(r + x) - lgamma(r) + r * np.log(alpha) + lgamma(a + b) + lgamma(b + x) - lgamma(b) - lgamma(a + b + x)
     never = -(r + x) * np.log(alpha + t)
     dead = np.where(x > 0, np.log(a) - np.log(np.maximum(b + x - 1, 1e-12)) - (r + x) * np.log(alpha + tx), -np.inf)
-    like = base + np.logaddexp(never, dead)
-    return float(-(weight @ like) / weight.sum() + PENALTY * np.sum(np.exp(2 * np.clip(log_params, -12, 12))))
+    return base + np.logaddexp(never, dead)
 
 
-def gamma_gamma_loss(log_params: np.ndarray, x, m) -> float:
-    p, q, v = np.exp(np.clip(log_params, -12, 12))
-    like = lgamma(p * x + q) - lgamma(p * x) - lgamma(q) + q * np.log(v) + (p * x - 1) * np.log(m) + p * x * np.log(x) - (p * x + q) * np.log(x * m + v)
-    return float(-like.mean() + PENALTY * np.sum(np.exp(2 * np.clip(log_params, -12, 12))))
+def bgnbd_loss(log_params: np.ndarray, x, tx, t, weight) -> float:
+    return float(-(weight @ bgnbd_like(log_params, x, tx, t)) / weight.sum() + _penalty(log_params))
 
 
-def fit_bgnbd(x, tx, t, weight) -> np.ndarray:
-    """(r, alpha, a, b); time is scaled to a maximum of 10 while fitting."""
-    scale = 10.0 / max(float(np.max(t)), 1.0)
-    best = np.exp(np.clip(simplex(lambda p: bgnbd_loss(p, x, tx * scale, t * scale, weight), np.zeros(4)), -12, 12))
+def gamma_gamma_like(log_params: np.ndarray, x, m) -> np.ndarray:
+    p, q, v = _params(log_params)
+    return lgamma(p * x + q) - lgamma(p * x) - lgamma(q) + q * np.log(v) + (p * x - 1) * np.log(m) + p * x * np.log(x) - (p * x + q) * np.log(x * m + v)
+
+
+def gamma_gamma_loss(log_params: np.ndarray, x, m, weight) -> float:
+    return float(-(weight @ gamma_gamma_like(log_params, x, m)) / weight.sum() + _penalty(log_params))
+
+
+def _bgnbd_search(loss, most: float) -> np.ndarray:
+    """(r, alpha, a, b) for ``loss(log_params, scale)``; time is scaled to a maximum of 10."""
+    scale = 10.0 / max(most, 1.0)
+    best = _params(simplex(lambda p: loss(p, scale), np.zeros(4)))
     best[1] /= scale
     return best
 
 
-def fit_gamma_gamma(x, m) -> np.ndarray:
-    scale = float(np.mean(m))
-    best = np.exp(np.clip(simplex(lambda p: gamma_gamma_loss(p, x, m / scale), np.array([1.0, 1.0, 0.5])), -12, 12))
-    best[2] *= scale
+def _gamma_gamma_search(loss, mean: float) -> np.ndarray:
+    best = _params(simplex(lambda p: loss(p, mean), np.array([1.0, 1.0, 0.5])))
+    best[2] *= mean
     return best
 
 
+def fit_bgnbd(x, tx, t, weight) -> np.ndarray:
+    """(r, alpha, a, b); time is scaled to a maximum of 10 while fitting."""
+    return _bgnbd_search(lambda p, scale: bgnbd_loss(p, x, tx * scale, t * scale, weight), float(np.max(t)))
+
+
+def fit_gamma_gamma(x, m, weight=None) -> np.ndarray:
+    weight = np.ones(len(x)) if weight is None else weight
+    return _gamma_gamma_search(lambda p, scale: gamma_gamma_loss(p, x, m / scale, weight), float(weight @ m / weight.sum()))
+
+
+def _mean_like(stats: DataFrame, like) -> float:
+    """Mean of ``like(columns)`` over the groups of ``stats``, each as often as
+    its last column says; a row of sums for each partition reaches the driver."""
+
+    def sums(batches):
+        total = n = 0.0
+        for b in batches:
+            *columns, weight = (c.to_numpy(zero_copy_only=False).astype(float) for c in b.columns)
+            if len(weight):
+                total, n = total + float(weight @ like(*columns)), n + float(weight.sum())
+        yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([n])], ["total", "n"])
+
+    parts = stats.mapInArrow(sums, "total double, n double").collect()
+    return sum(sorted(r.total for r in parts)) / sum(r.n for r in parts)
+
+
 def expected_purchases(params, x, tx, t, ahead) -> np.ndarray:
     """Purchases in (t, t + ahead] given the history."""
     r, alpha, a, b = params
@@ -127,14 +170,35 @@ def lifetime_value(bg, gg, x, tx, t, m, months: int, rate: float) -> np.ndarray:
     return np.maximum(out, 0)
 
 
+def _few(stats: DataFrame) -> list[np.ndarray] | None:
+    """The columns of ``stats`` in an order of their own, None if it has over ``FIT_ROWS`` rows."""
+    rows = stats.limit(FIT_ROWS + 1).toPandas()
+    if len(rows) > FIT_ROWS:
+        return None
+    rows = rows.astype(float).sort_values(list(rows.columns))
+    return [rows[c].to_numpy() for c in rows.columns]
+
+
 def fit_and_predict(inputs: DataFrame, horizon_months: int, rate: float) -> DataFrame:
     """Adds _clv to the table of :func:`~tallywick.operators.clv.clv_inputs`."""
-    stats = inputs.groupBy("frequency", "recency", "T").count().orderBy(F.xxhash64("frequency", "recency", "T")).limit(FIT_ROWS).toPandas()
-    bg = fit_bgnbd(*(stats[c].to_numpy(float) for c in ("frequency", "recency", "T", "count")))
-    repeat = inputs.where("frequency > 0 and monetary_value > 0").orderBy(F.xxhash64("customer_id")).limit(FIT_ROWS).select("frequency", "monetary_value").toPandas()
-    if repeat.empty:
-        raise ValueError("no repeat buyer has a positive value")
-    gg = fit_gamma_gamma(repeat["frequency"].to_numpy(float), repeat["monetary_value"].to_numpy(float))
+    stats = inputs.groupBy("frequency", "recency", "T").count()
+    near = _few(stats)
+    if near is not None:
+        bg = fit_bgnbd(*near)
+    else:
+        stats = materialised(stats)
+        most = float(stats.agg(F.max("T")).first()[0])
+        bg = _bgnbd_search(lambda p, scale: -_mean_like(stats, lambda x, tx, t: bgnbd_like(p, x, tx * scale, t * scale)) + _penalty(p), most)
+    repeat = inputs.where("frequency > 0 and monetary_value > 0").groupBy("frequency", "monetary_value").count()
+    near = _few(repeat)
+    if near is not None:
+        if not len(near[0]):
+            raise ValueError("no repeat buyer has a positive value")
+        gg = fit_gamma_gamma(*near)
+    else:
+        repeat = materialised(repeat)
+        mean = float(repeat.agg(F.sum(F.col("monetary_value") * F.col("count")) / F.sum("count")).first()[0])
+        gg = _gamma_gamma_search(lambda p, scale: -_mean_like(repeat, lambda x, m: gamma_gamma_like(p, x, m / scale)) + _penalty(p), mean)
     if not (np.isfinite(bg).all() and np.isfinite(gg).all()):
         raise ValueError("the fit did not converge")
 

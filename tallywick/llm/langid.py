@@ -3,7 +3,11 @@
 A text is the average of embeddings of its hashed subwords (2- and 4-byte
 windows of the lower-cased bytes, within the text), followed by a linear softmax;
 both are trained by stochastic gradient descent in numpy on a bounded sample,
-``PER_LANGUAGE`` rows of least id hash for each language.  A temperature is
+``PER_LANGUAGE`` rows of least id hash for each language (fewer where there are
+so many languages that all would have over ``TRAIN_MOST`` rows; no language is
+left out).  A row goes to training as the shares of its distinct subwords, 2**15
+at most however long the text.  The same rows give the same model, in whatever
+order and partitions they come.  A temperature is
 fitted on a part of the sample kept out of training, and with it the score below
 which a prediction counts as rejected (calibrated so that at most ``REJECT`` of
 right predictions are).
@@ -26,7 +30,8 @@ from pyspark.sql import functions as F
 from .kernels import lower, slices, utf8, window_hashes
 
 BITS, WIDTH = 15, 16
-PER_LANGUAGE, LANGUAGES_MOST, CUT_TIMES = 800, 256, 3
+#: Rows of a language, and of all languages, to learn from; a hash bound lets this many times as many pass before they are ranked.
+PER_LANGUAGE, TRAIN_MOST, CUT_TIMES = 800, 204_800, 3
 EPOCHS, BATCH, RATE = 6, 32, 2.0
 REJECT = 0.005
 UNKNOWN = "und"
@@ -88,8 +93,9 @@ def fit(texts: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, languages: li
     steps = max(1, EPOCHS * -(-len(learned) // BATCH))
     step = 0
     for _ in range(EPOCHS):
+        learned = rng.permutation(learned)
         for lo in range(0, len(learned), BATCH):
-            own = rng.permutation(learned)[:BATCH] if lo else learned[:BATCH]
+            own = learned[lo : lo + BATCH]
             rate = RATE * (1 - step / steps)
             step += 1
             mean = np.stack([share @ emb[b] for b, share in (texts[i] for i in own)])
@@ -114,36 +120,47 @@ def fit(texts: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, languages: li
 
 def train(docs: DataFrame, keep: Column, per_language: int = PER_LANGUAGE) -> Model | None:
     """A model from rows of ``docs`` with a lang for which ``keep`` (over doc_id)
-    is true.  At most ``per_language`` rows of a language, and the
-    ``LANGUAGES_MOST`` most frequent languages, go to one training task."""
+    is true: at most ``per_language`` rows of a language and ``TRAIN_MOST`` in
+    all, which go to one training task."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("lang").cast("string").alias("lang"))
     known = rows.where(F.col("lang").isNotNull() & F.coalesce(keep, F.lit(False)))
     dice = F.xxhash64("doc_id")
-    top = known.groupBy("lang").agg(F.count(F.lit(1)).alias("count"), F.min(dice).alias("least")).orderBy(F.desc("count"), "lang").limit(LANGUAGES_MOST).collect()
-    languages = sorted(r.lang for r in top)
+    # one row for each language
+    seen = known.groupBy("lang").agg(F.count(F.lit(1)).alias("count"), F.min(dice).alias("least")).collect()
+    languages = sorted(r.lang for r in seen)
     if not languages:
         return None
+    each = max(1, min(per_language, TRAIN_MOST // len(languages)))
     # a language's rows of small id hash, several times as many as are ranked; its least hash stays even if all its rows share one id
-    bounds = F.create_map(*[F.lit(x) for r in top for x in (r.lang, max(r.least, _hash_bound(CUT_TIMES * per_language / r["count"])))])
+    bounds = F.create_map(*[F.lit(x) for r in seen for x in (r.lang, max(r.least, _hash_bound(CUT_TIMES * each / r["count"])))])
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(dice, "doc_id", F.xxhash64("text")))
-    sample = known.where(dice <= bounds[F.col("lang")]).withColumn("_rank", rank).where(F.col("_rank") <= per_language)
+    sample = known.where(dice <= bounds[F.col("lang")]).withColumn("_rank", rank).where(F.col("_rank") <= each)
     number = {g: k for k, g in enumerate(languages)}
 
+    def shares(batches):
+        for whole in batches:
+            for part in slices(whole, "text"):
+                bucket, first = subwords(*utf8(part.column(2)))
+                out = []
+                for k in range(len(part)):
+                    b, n = np.unique(bucket[first[k] : first[k + 1]], return_counts=True)
+                    out.append((b.astype(np.int32).tobytes(), n.astype(np.int32).tobytes()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([x for x, _ in out], pa.binary()), pa.array([x for _, x in out], pa.binary())], ["lang", "rank", "buckets", "counts"])
+
     def learn(table: pa.Table) -> pa.Table:
         texts, y = [], []
-        for batch in table.combine_chunks().to_batches():
-            for part in slices(batch, "text"):
-                bucket, first = subwords(*utf8(part.column("text")))
-                for k, lang in enumerate(part.column("lang").to_pylist()):
-                    b, n = np.unique(bucket[first[k] : first[k + 1]], return_counts=True)
-                    if len(b):
-                        texts.append((b, n / n.sum()))
-                        y.append(number[lang])
+        table = table.sort_by([("lang", "ascending"), ("rank", "ascending")])
+        for lang, b, n in zip(table.column("lang").to_pylist(), table.column("buckets").to_pylist(), table.column("counts").to_pylist(), strict=True):
+            if b:
+                n = np.frombuffer(n, np.int32)
+                texts.append((np.frombuffer(b, np.int32).astype(np.int64), n / n.sum()))
+                y.append(number[lang])
         if not texts:
             texts, y = [(np.zeros(1, np.int64), np.ones(1))], [0]
         m = fit(texts, np.array(y), languages)
         return pa.table({"table": [m.table.tobytes()], "bias": [m.bias.tobytes()], "temperature": [float(m.temperature)], "least": [m.least]})
 
+    sample = sample.select("lang", F.col("_rank").cast("int").alias("rank"), "text").mapInArrow(shares, "lang string, rank int, buckets binary, counts binary")
     got = sample.groupBy(F.lit(0).alias("one")).applyInArrow(lambda t: learn(t), "table binary, bias binary, temperature double, least double").first()
     if got is None:
         return None
@@ -154,7 +171,7 @@ def train(docs: DataFrame, keep: Column, per_language: int = PER_LANGUAGE) -> Mo
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, lang_pred, score, rejected (the score is below the calibrated
     least score, or there is no letter) of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**BITS rows of LANGUAGES_MOST floats at most
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**BITS floats for each language
 
     def run(batches):
         m = shared.value

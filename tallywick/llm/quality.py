@@ -10,8 +10,9 @@ text with the weights.
 
 Labels, lang, source and id are never inputs of a score.  A null or empty text
 has no feature: its score is that of the bias.  Null labels aren't learned from;
-of several labels of one id the least counts.  Rows with the same id each keep a
-row; without any label every score is 0.5; an empty table gives no rows; further
+of several labels of one id the least counts, and of several rows of one id the
+one of least text hash is learned from.  The same rows give the same weights, in
+whatever order and partitions they come.  Rows with the same id each keep a row; without any label every score is 0.5; an empty table gives no rows; further
 columns are ignored.
 """
 
@@ -89,7 +90,8 @@ def _rows(buf, offsets, scale=32.0):
 
 
 def _train(table: pa.Table) -> pa.Table:
-    table = table.combine_chunks()
+    # rows arrive in any order: a fixed one makes the weights the same on every run
+    table = table.sort_by([("dice", "ascending"), ("doc_id", "ascending")]).combine_chunks()
     examples = []
     for batch in table.to_batches():
         for part in slices(batch, "text"):
@@ -112,9 +114,12 @@ def train(docs: DataFrame, labels: DataFrame, keep: Column, label_col: str = "qu
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     # train_most rows of two numbers at most: the broadcast is bounded
     sample = rows.join(F.broadcast(chosen), "doc_id")
-    sample = sample.select(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(SHARDS)).cast("int").alias("shard"), "label", "text")
+    # of several rows with one id the one of least text hash, so that train_most bounds rows too
+    sample = sample.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("m"))
+    sample = sample.select(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(SHARDS)).cast("int").alias("shard"), F.xxhash64("doc_id").alias("dice"), "doc_id", "label", "m.text")
     shards = sample.groupBy("shard").applyInArrow(_train, "bucket int, weight double")
-    total = shards.groupBy("bucket").agg(F.sum("weight").alias("weight"), F.count("*").alias("n"))
+    # SHARDS numbers of a bucket, added in their order
+    total = shards.groupBy("bucket").agg(F.aggregate(F.array_sort(F.collect_list("weight")), F.lit(0.0), lambda a, x: a + x).alias("weight"), F.count("*").alias("n"))
     weights = np.zeros(1 << BITS)
     found = total.toPandas()  # 2**BITS rows at most
     if len(found):

@@ -10,7 +10,7 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import features as prep
@@ -84,15 +84,26 @@ class ChurnPredictor:
     trees: int = 100
 
     def stratified(self, df: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Train and test with the label's share kept, by hash order in each class.
-
-        The class rank needs only the hash and label; a class is ranked in one task."""
-        order = Window.partitionBy("label").orderBy("_h")
-        size = Window.partitionBy("label")
-        marked = df.withColumn("_h", F.xxhash64(F.monotonically_increasing_id(), F.lit(self.seed)))
-        marked = marked.withColumn("_test", F.row_number().over(order) <= F.rint(F.count("*").over(size) * self.test_size))
+        """Train and test with the label's share kept: the rows of a class whose
+        hash is up to the quantile ``test_size`` of the class' hashes are tested.
+        A row's hash is of its columns, so the split is the same on every run."""
+        marked, cuts = self._hashed(df, [self.test_size], self.seed)
+        marked = marked.withColumn("_test", F.coalesce(F.col("_h") <= cuts[0], F.lit(False)))
         return marked.where("not _test").drop("_h", "_test"), marked.where("_test").drop("_h", "_test")
 
+    def _hashed(self, df: DataFrame, shares: list[float], seed: int) -> tuple[DataFrame, list]:
+        """The rows with a hash of their columns, and its quantiles in the row's class."""
+        marked = df.withColumn("_h", F.xxhash64(*[c for c, t in df.dtypes if t != "vector"], F.lit(seed)))
+        found = {r.label: r.q for r in marked.groupBy("label").agg(F.percentile_approx("_h", shares, 100_000).alias("q")).collect()}
+
+        def cut(k):
+            out = F.lit(None).cast("long")
+            for label, q in found.items():
+                out = F.when(F.col("label") == label, F.lit(q[k])).otherwise(out)
+            return out
+
+        return marked, [cut(k) for k in range(len(shares))]
+
     def _forest(self, trees: int, depth: int) -> RandomForestClassifier:
         return RandomForestClassifier(numTrees=trees, maxDepth=depth, minInstancesPerNode=2, seed=self.seed, weightCol="weight")
 
@@ -100,7 +111,12 @@ class ChurnPredictor:
         return GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.1, seed=self.seed)
 
     def _folded(self, train: DataFrame) -> DataFrame:
-        return train.withColumn("_fold", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(self.seed + 1)), F.lit(self.folds)).cast("int")).cache()
+        """The rows with a fold in which each class has its share."""
+        marked, cuts = self._hashed(train, [k / self.folds for k in range(1, self.folds)], self.seed + 1)
+        fold = F.lit(0)
+        for c in cuts:
+            fold = fold + F.coalesce(F.col("_h") > c, F.lit(False)).cast("int")
+        return marked.withColumn("_fold", fold).drop("_h").cache()
 
     def _out_of_fold(self, train: DataFrame, estimators: list) -> DataFrame:
         parts = []
@@ -177,14 +193,15 @@ class ChurnPredictor:
             for c in columns:
                 neutral = prep.vectors(x_test.drop("features").withColumn(c, F.lit(0.0)), columns)
                 values.append(max(0.0, auc - (metrics.roc_auc(model.score(neutral)).first()[0] or 0.0)))
-        total = sum(values) or 1.0
+        total = float(sum(values)) or 1.0
         return sorted(((c, float(v), round(float(v) / total * 100, 2)) for c, v in zip(columns, values, strict=True)), key=lambda r: (-r[1], r[0]))
 
     def grid_search(self, df: DataFrame, target: str, columns: list[str] | None = None, kind: str = "rf", small: bool = False, parallelism: int = 2):
         """(best model, [(parameters, AUC)]) by cross-validation over the full grid."""
         columns = columns or prep.numeric_columns(df, (target,))
         centre = prep.medians(df, columns)
-        x = prep.vectors(prep.impute(df, centre), columns).withColumn("label", F.col(target).cast("int")).select("features", "label").cache()
+        x = prep.vectors(prep.impute(df, centre), columns).withColumn("label", F.col(target).cast("int"))
+        x = self._folded(x).select("features", "label", "_fold")
         if kind == "rf":
             e = RandomForestClassifier(seed=self.seed)
             axes = {e.numTrees: [50, 100, 200], e.maxDepth: [5, 10, 15, 20], e.minInstancesPerNode: [1, 2, 4], e.featureSubsetStrategy: ["sqrt", "log2", "all"]}
@@ -196,7 +213,7 @@ class ChurnPredictor:
         grid = ParamGridBuilder()
         for p, values in axes.items():
             grid.addGrid(p, values[:1] if small and p.name not in ("numTrees", "maxIter") else values[:2] if small else values)
-        found = CrossValidator(estimator=e, estimatorParamMaps=grid.build(), evaluator=BinaryClassificationEvaluator(), numFolds=min(self.folds, 5), seed=self.seed, parallelism=parallelism).fit(x)
+        found = CrossValidator(estimator=e, estimatorParamMaps=grid.build(), evaluator=BinaryClassificationEvaluator(), numFolds=self.folds, foldCol="_fold", seed=self.seed, parallelism=parallelism).fit(x)
         table = [({p.name: v for p, v in m.items()}, a) for m, a in zip(grid.build(), found.avgMetrics, strict=True)]
         return found.bestModel, table
 

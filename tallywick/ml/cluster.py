@@ -117,16 +117,21 @@ class ClusteringEngine:
 
     # selection -------------------------------------------------------------
     def scores(self, labelled: DataFrame) -> dict:
-        """Indices over the rows that aren't noise; 0, 0, inf for fewer than two clusters."""
+        """Indices over the rows that aren't noise; 0, 0, inf for fewer than two
+        clusters.  The silhouette is by Euclidean distance of all pairs up to
+        ``metrics.PAIRS_MOST`` rows, and by squared distance, which needs no
+        pairs, beyond; ``silhouette_distance`` says which."""
         n = labelled.count()
-        kept = labelled.where("cluster <> -1").select(F.col(ROW).alias("id"), "cluster", vector_to_array("features").alias("v"))
+        pairs = n <= metrics.PAIRS_MOST
+        rows = labelled.where("cluster <> -1")
+        kept = rows.select(F.col(ROW).alias("id"), "cluster", vector_to_array("features").alias("v"))
         k, m = kept.agg(F.countDistinct("cluster"), F.count("*")).first()
-        out = {"n_clusters": k, "noise_ratio": 1 - m / n if n else 0.0, "silhouette": 0.0, "calinski_harabasz": 0.0, "davies_bouldin": float("inf")}
+        out = {"n_clusters": k, "noise_ratio": 1 - m / n if n else 0.0, "silhouette": 0.0, "calinski_harabasz": 0.0, "davies_bouldin": float("inf"), "silhouette_distance": "euclidean" if pairs else "squared"}
         if k < 2:
             return out
         by = {"row_id": "id", "vector": "v", "cluster": "cluster"}
         return out | {
-            "silhouette": metrics.silhouette(kept, **by).first()[0],
+            "silhouette": metrics.silhouette(kept, **by).first()[0] if pairs else metrics.squared_silhouette(rows),
             "calinski_harabasz": metrics.calinski_harabasz(kept, **by).first()[0],
             "davies_bouldin": metrics.davies_bouldin(kept, **by).first()[0],
         }
@@ -153,8 +158,9 @@ class ClusteringEngine:
     def fit(self, df: DataFrame, columns: list[str] | None = None, algorithm: str = "auto", n_clusters: int | None = None, eps: float = 0.5, min_samples: int = 5) -> ClusteringResult:
         x, columns, by = self.prepared(df, columns)
         if algorithm == "auto":
-            best = None
-            for name in ("kmeans", "hierarchical", "gmm", "dbscan"):
+            best, n = None, x.count()
+            # merging and density take pairs of rows and are tried where these are few enough
+            for name in [a for a, most in (("kmeans", n), ("hierarchical", WARD_MOST), ("gmm", n), ("dbscan", metrics.PAIRS_MOST)) if n <= most]:
                 if name == "dbscan":
                     out, centres = self.dbscan(x, self.auto_eps(x, min_samples), min_samples), None
                 else:

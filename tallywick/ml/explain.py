@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import math
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+from pyspark.ml.classification import GBTClassificationModel
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..plans.lineage import materialised
+from ..plans.lineage import materialised, shared_dir
+from . import features as prep
 
 Scorer = Callable[[DataFrame], DataFrame]  # adds ``score`` to rows with the feature columns
 
@@ -18,6 +23,7 @@ class Explanation:
     values: DataFrame  # row_id, feature, value, shap_value
     base_value: float
     features: list[str]
+    link: str = "identity"  # "logit": contributions add up to log odds
 
     @property
     def importance(self) -> DataFrame:
@@ -31,9 +37,13 @@ class Explanation:
         return {"n_samples": n, "base_value": self.base_value, "variance": variance, "top": [r.feature for r in self.importance.limit(5).collect()]}
 
     def instance(self, row_id: int) -> DataFrame:
-        """feature, value, shap_value, direction of one row, largest effect first."""
+        """feature, value, shap_value, direction of one row, largest effect first,
+        beside the row's class and the model's confidence in it."""
         one = self.values.where(F.col("row_id") == row_id)
-        return one.select("feature", "value", "shap_value", F.when(F.col("shap_value") > 0, "positive").otherwise("negative").alias("direction")).orderBy(F.desc(F.abs("shap_value")), "feature")
+        total = F.lit(self.base_value) + F.sum("shap_value").over(Window.partitionBy("row_id"))
+        p = 1 / (1 + F.exp(-total)) if self.link == "logit" else total
+        judged = one.withColumn("probability", p).withColumn("predicted", (F.col("probability") >= 0.5).cast("int")).withColumn("confidence", F.greatest("probability", 1 - F.col("probability")))
+        return judged.select("feature", "value", "shap_value", F.when(F.col("shap_value") > 0, "positive").otherwise("negative").alias("direction"), "predicted", "confidence").orderBy(F.desc(F.abs("shap_value")), "feature")
 
     def waterfall(self, row_id: int, most: int = 15) -> DataFrame:
         """step, feature, shap_value, before, after of the largest contributions."""
@@ -66,8 +76,11 @@ class Explanation:
         return {"importance": [r.asDict() for r in self.importance.limit(10).collect()], "values": [r.asDict() for r in self.values.orderBy("row_id", "feature").limit(100).collect()], "summary": self.summary}
 
 
-def sampled(df: DataFrame, features: list[str], most: int, seed: int) -> DataFrame:
-    """At most ``most`` rows of least hash, numbered 0.. (bounded, so one ordered window will do)."""
+def sampled(df: DataFrame, features: list[str], most: int | None, seed: int) -> DataFrame:
+    """At most ``most`` rows of least hash, numbered 0.. (bounded, so one ordered
+    window will do); without ``most`` all rows, with any numbers of their own."""
+    if most is None:
+        return materialised(df.withColumn("row_id", F.monotonically_increasing_id()))
     hashed = df.withColumn("_h", F.xxhash64(*features, F.lit(seed))).orderBy("_h", *features).limit(most)
     return materialised(hashed.withColumn("row_id", (F.row_number().over(Window.orderBy("_h", *features)) - 1).cast("long")).drop("_h"))
 
@@ -77,13 +90,13 @@ def _long(rows: DataFrame, features: list[str], effects: dict) -> DataFrame:
     return rows.select("row_id", F.explode(cells).alias("c")).select("row_id", "c.*")
 
 
-def explain_linear(df: DataFrame, coefficients: dict[str, float], intercept: float = 0.0, most: int = 1000, seed: int = 42) -> Explanation:
+def explain_linear(df: DataFrame, coefficients: dict[str, float], intercept: float = 0.0, most: int | None = 1000, seed: int = 42, link: str = "identity") -> Explanation:
     """Exact values of a linear model: coefficient times distance from the mean."""
     features = list(coefficients)
     means = df.agg(*[F.avg(f).alias(f) for f in features]).first()
     rows = sampled(df, features, most, seed)
     base = intercept + sum(coefficients[f] * means[f] for f in features)
-    return Explanation(_long(rows, features, {f: F.lit(coefficients[f]) * (F.col(f) - F.lit(means[f])) for f in features}), float(base), features)
+    return Explanation(_long(rows, features, {f: F.lit(coefficients[f]) * (F.col(f) - F.lit(means[f])) for f in features}), float(base), features, link)
 
 
 def explain_permutation(df: DataFrame, score: Scorer, features: list[str], most: int = 1000, seed: int = 42) -> Explanation:
@@ -104,12 +117,100 @@ def explain_permutation(df: DataFrame, score: Scorer, features: list[str], most:
     return Explanation(_long(out, features, effects), float(base or 0.0), features)
 
 
+@dataclass(frozen=True)
+class Leaf:
+    """A leaf's value and, for each feature on its path, the bounds that lead to
+    it and the share of training rows that take its branches."""
+
+    value: float
+    bounds: dict[int, tuple[float, float, float]]  # feature: above, up to, share
+
+
+def leaves_of(model) -> list[Leaf]:
+    """The leaves of a forest or of boosted trees, from the table of nodes that
+    the model saves; values are what they add to the score (forest: probability)
+    or to its log odds (boosted)."""
+    path = f"{shared_dir(SparkSession.getActiveSession())}/model-{uuid.uuid4().hex}"
+    model.write().save(path)
+    boosted = isinstance(model, GBTClassificationModel)
+    trees: dict[int, dict] = {}
+    for r in SparkSession.getActiveSession().read.parquet(f"{path}/data").collect():  # the model's nodes
+        trees.setdefault(r.treeID, {})[r.nodeData.id] = r.nodeData
+    weights = list(model.treeWeights)
+    out: list[Leaf] = []
+
+    def walk(nodes: dict, i: int, bounds: dict, weight: float) -> None:
+        node = nodes[i]
+        if node.leftChild < 0:
+            stats = node.impurityStats
+            value = 2 * weight * node.prediction if boosted else weight / sum(weights) * stats[1] / max(sum(stats), 1e-300)
+            out.append(Leaf(float(value), bounds))
+            return
+        f, at = node.split.featureIndex, node.split.leftCategoriesOrThreshold[0]
+        covers = [sum(nodes[c].impurityStats[:2]) if not boosted else nodes[c].impurityStats[0] for c in (node.leftChild, node.rightChild)]
+        for child, cover, low, high in ((node.leftChild, covers[0], -float("inf"), at), (node.rightChild, covers[1], at, float("inf"))):
+            a, b, share = bounds.get(f, (-float("inf"), float("inf"), 1.0))
+            walk(nodes, child, bounds | {f: (max(a, low), min(b, high), share * cover / max(sum(covers), 1e-300))}, weight)
+
+    for k, nodes in sorted(trees.items()):
+        walk(nodes, 0, {}, weights[k])
+    return out
+
+
+def leaf_effects(leaves: list[Leaf], x: np.ndarray) -> np.ndarray:
+    """(rows, features) Shapley values of the sum of the leaves, where a feature
+    that isn't known takes a branch with its share of training rows.
+
+    Of a leaf with d features on its path, feature i gets value * (o_i - z_i)
+    times the sum over sets S of the others of |S|! (d - |S| - 1)! / d! times o_j
+    inside and z_j outside S (o: the row keeps the bounds, z: share); the sums by
+    |S| are the coefficients of the product of (z_j + o_j t)."""
+    out = np.zeros_like(x)
+    for leaf in leaves:
+        d = len(leaf.bounds)
+        kept = {f: ((x[:, f] > a) & (x[:, f] <= b)).astype(float) for f, (a, b, _) in leaf.bounds.items()}
+        for i in leaf.bounds:
+            sums = np.zeros((d, len(x)))
+            sums[0] = 1.0
+            for j, (_, _, share) in leaf.bounds.items():
+                if j != i:
+                    sums[1:] = sums[1:] * share + sums[:-1] * kept[j]
+                    sums[0] *= share
+            parts = np.array([math.factorial(k) * math.factorial(d - k - 1) / math.factorial(d) for k in range(d)])
+            out[:, i] += leaf.value * (kept[i] - leaf.bounds[i][2]) * (parts @ sums)
+    return out
+
+
+def explain_trees(model, df: DataFrame, features: list[str], most: int | None = 1000, seed: int = 42) -> Explanation:
+    """Exact values of a trained forest (of the probability) or of boosted trees
+    (of the log odds); the tables of leaves go to the tasks."""
+    inner = model.model.model
+    leaves = leaves_of(inner)
+    base = sum(leaf.value * math.prod(share for *_, share in leaf.bounds.values()) for leaf in leaves)
+    rows = sampled(df, features, most, seed)
+    seen = prep.scale(prep.impute(prep.label_codes(rows, model.categorical), model.medians), model.scaling)
+    # the values as given, and as the trees see them
+    both = seen.select("row_id", *[F.col(f).cast("double").alias(f"_t_{f}") for f in model.features]).join(rows.select("row_id", *[F.col(f).cast("double").alias(f) for f in features]), "row_id")
+    shared = df.sparkSession.sparkContext.broadcast(leaves)  # the model's own size
+
+    def run(batches):
+        for pdf in batches:
+            effects = leaf_effects(shared.value, pdf[[f"_t_{f}" for f in model_features]].to_numpy(float))
+            yield pdf[["row_id", *features]].assign(**{f"_e_{f}": effects[:, model_features.index(f)] for f in features})
+
+    model_features = list(model.features)
+    schema = ", ".join(["row_id long", *[f"`{f}` double" for f in features], *[f"`_e_{f}` double" for f in features]])
+    return Explanation(_long(both.mapInPandas(run, schema), features, {f: F.col(f"`_e_{f}`") for f in features}), float(base), features, "logit" if isinstance(inner, GBTClassificationModel) else "identity")
+
+
 def explain_model(model, df: DataFrame, features: list[str], most: int = 1000, seed: int = 42) -> Explanation:
-    """Linear models exactly, anything with ``predict`` by permutation."""
+    """Linear models and trees exactly, anything else with ``predict`` by permutation."""
     inner = getattr(getattr(model, "model", None), "model", None)
     if hasattr(inner, "coefficients"):
         scale = {f: model.scaling[f] for f in features}
         raw = {f: float(c) / scale[f][1] for f, c in zip(features, inner.coefficients.toArray(), strict=True)}
         shift = float(inner.intercept) - sum(raw[f] * scale[f][0] for f in features)
-        return explain_linear(df, raw, shift, most, seed)
+        return explain_linear(df, raw, shift, most, seed, "logit")
+    if hasattr(inner, "trees"):
+        return explain_trees(model, df, features, most, seed)
     return explain_permutation(df, model.predict, features, most, seed)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.lineage import materialised
+
 
 def confusion(scored: DataFrame, label: str = "label", predicted: str = "predicted") -> DataFrame:
     """One row: counts and rates of a binary prediction."""
@@ -20,25 +23,33 @@ def confusion(scored: DataFrame, label: str = "label", predicted: str = "predict
 
 
 def score_counts(scored: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
-    """(score, pos, neg, tp, fp): counts per distinct score and running from the
-    highest down.  Rows are reduced to distinct scores before the one ordered
-    window."""
+    """(score, pos, neg, tp, fp, all_pos, all_neg): counts per distinct score,
+    running from the highest down, and in all.  Distinct scores are dealt out by
+    range; each range runs by itself and starts from the sums of those above it,
+    of which only two numbers a range reach the driver."""
     per = scored.groupBy(F.col(score).alias("score")).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
-    down = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    return per.withColumn("tp", F.sum("pos").over(down)).withColumn("fp", F.sum("neg").over(down))
+    parts = int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    placed = materialised(per.repartitionByRange(parts, F.desc("score")).withColumn("_part", F.spark_partition_id()))
+    starts, pos, neg = {}, 0, 0
+    for r in sorted(placed.groupBy("_part").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).collect()):
+        starts[r["_part"]] = (pos, neg)
+        pos, neg = pos + r.pos, neg + r.neg
+    before = lambda k: F.element_at(F.create_map(*[F.lit(x).cast("long") for p, s in starts.items() for x in (p, s[k])]), F.col("_part").cast("long")) if starts else F.lit(0).cast("long")
+    down = Window.partitionBy("_part").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    running = placed.withColumn("tp", F.sum("pos").over(down) + before(0)).withColumn("fp", F.sum("neg").over(down) + before(1))
+    return running.withColumn("all_pos", F.lit(pos).cast("long")).withColumn("all_neg", F.lit(neg).cast("long")).drop("_part")
 
 
 def roc_points(scored: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """(threshold, tpr, fpr) of every distinct score."""
     c = score_counts(scored, label, score)
-    every = Window.partitionBy()
-    return c.select(F.col("score").alias("threshold"), F.try_divide("tp", F.sum("pos").over(every)).alias("tpr"), F.try_divide("fp", F.sum("neg").over(every)).alias("fpr"))
+    return c.select(F.col("score").alias("threshold"), F.try_divide("tp", "all_pos").alias("tpr"), F.try_divide("fp", "all_neg").alias("fpr"))
 
 
 def pr_points(scored: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """(threshold, precision, recall) of every distinct score."""
     c = score_counts(scored, label, score)
-    return c.select(F.col("score").alias("threshold"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), F.try_divide("tp", F.sum("pos").over(Window.partitionBy())).alias("recall"))
+    return c.select(F.col("score").alias("threshold"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), F.try_divide("tp", "all_pos").alias("recall"))
 
 
 def roc_auc(scored: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
@@ -141,6 +152,12 @@ def knn_distance_percentile(df: DataFrame, k: int = 5, share: float = 0.9, **col
     return knn(df, k, **columns).where(F.col("rank") == k).agg(F.percentile("d", F.lit(share)).alias("distance"))
 
 
+def squared_silhouette(df: DataFrame, vector: str = "features", cluster: str = "cluster") -> float:
+    """The mean silhouette by squared Euclidean distance, in one pass over the
+    rows and the clusters' sums: for tables of any size."""
+    return ClusteringEvaluator(featuresCol=vector, predictionCol=cluster, metricName="silhouette", distanceMeasure="squaredEuclidean").evaluate(df)
+
+
 def silhouette(df: DataFrame, row_id: str = "vec_id", vector: str = "embedding", cluster: str = "label") -> DataFrame:
     """One row: the mean Euclidean silhouette (a cluster of one row counts 0)."""
     d = _distances(df, row_id, vector, [F.col(cluster).alias("c")])

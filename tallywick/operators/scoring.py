@@ -1,23 +1,22 @@
 """Quantile scores of row ranks.
 
 The rank is 1..n with ties in order of id.  Bin edges are the linear quantiles of
-1..n, so they follow from (n, bins) alone: at most bins - 1 literals.  Up to
-``WINDOW_ROWS`` rows the rank is one ordered window over the already reduced
-customer table; beyond, rows are range-partitioned and sorted, and each
-partition's offset (a number per partition) turns positions into ranks without
-any single-task sort.
+1..n, so they follow from (n, bins) alone: at most bins - 1 literals.  For the
+rank, rows are range-partitioned and sorted, and each partition's offset (a number
+per partition) turns positions into ranks, so no task sorts all customers.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import materialised
 
-WINDOW_ROWS = 2_000_000
+#: Rows in a range of the rank, on average.
+PART_ROWS = 500_000
 
 
 def interior_edges(n: int, bins: int) -> list[float]:
@@ -42,9 +41,7 @@ def rank_score(rank: Column, n: int, bins: int) -> Column:
 
 def with_rank(df: DataFrame, value: str, tie: str, out: str, n: int) -> DataFrame:
     """Adds the rank of ``value``, ties by ``tie``."""
-    if n <= WINDOW_ROWS:
-        return df.withColumn(out, F.row_number().over(Window.orderBy(value, tie)))
-    parts = max(2, -(-n // WINDOW_ROWS) * 4)
+    parts = max(2, -(-n // PART_ROWS))
     placed = df.repartitionByRange(parts, value, tie).sortWithinPartitions(value, tie).withColumn("_at", F.monotonically_increasing_id())
     placed = materialised(placed)  # both passes must see the same ranges
     part, at = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))

@@ -255,18 +255,22 @@ def feature_correlation(spark, sf_dir):
     return rows.agg(round_even(F.corr("l_quantity", "l_extendedprice"), 6).alias("quantity_price"), round_even(F.corr("l_discount", "l_extendedprice"), 6).alias("discount_price"))
 
 
+#: Of the table of embeddings.
+DIMENSIONS = 64
+
+
 def _embedded(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    return e.select("vec_id", "label", *[F.element_at("embedding", k + 1).cast("double").alias(f"e{k}") for k in range(3)])
+    return e.select("vec_id", "label", *[F.element_at("embedding", k + 1).cast("double").alias(f"e{k}") for k in range(DIMENSIONS)])
 
 
 def cluster_summary(spark, sf_dir):
-    found = metrics.cluster_summary(_embedded(spark, sf_dir), ["e0", "e1", "e2"], "label")
-    return found.select("label", "size", "percentage", *[round_even(F.col(f"e{k}_{s}"), 6).alias(f"e{k}_{s}") for k in range(3) for s in ("mean", "std", "min", "max")])
+    found = metrics.cluster_summary(_embedded(spark, sf_dir), [f"e{k}" for k in range(DIMENSIONS)], "label")
+    return found.select("label", "size", "percentage", *[round_even(F.col(f"e{k}_{s}"), 6).alias(f"e{k}_{s}") for k in range(DIMENSIONS) for s in ("mean", "std", "min", "max")])
 
 
 def cluster_profile(spark, sf_dir):
-    return metrics.cluster_profile(_embedded(spark, sf_dir), ["e0", "e1", "e2"], 3, "label")
+    return metrics.cluster_profile(_embedded(spark, sf_dir), [f"e{k}" for k in range(DIMENSIONS)], 3, "label")
 
 
 def davies_bouldin(spark, sf_dir):
@@ -318,7 +322,7 @@ def sample_orders(spark, sf_dir):
     return generate_orders(spark)
 
 
-def _vector_columns(spark, sf_dir, width=8):
+def _vector_columns(spark, sf_dir, width=DIMENSIONS):
     e = table(spark, sf_dir, "embeddings")
     return e.select("vec_id", *[F.element_at("embedding", k + 1).cast("double").alias(f"e{k}") for k in range(width)]), [f"e{k}" for k in range(width)]
 
@@ -328,7 +332,7 @@ def _clusters(algorithm, **options):
         from ..ml.cluster import ClusteringEngine
 
         df, columns = _vector_columns(spark, sf_dir)
-        return ClusteringEngine(n_init=2).fit(df, columns, algorithm, **options).labelled.select("vec_id", "cluster")
+        return ClusteringEngine().fit(df, columns, algorithm, **options).labelled.select("vec_id", "cluster")
 
     return query
 
@@ -361,7 +365,7 @@ def _fit(kind):
         from ..ml.churn import ChurnPredictor
 
         df = _customers(spark, sf_dir)
-        model = ChurnPredictor(trees=10, folds=2).train(df, "churned", CHURN_FEATURES, kind=kind)
+        model = ChurnPredictor().train(df, "churned", CHURN_FEATURES, kind=kind)
         return model.predict(df).select("customer_id", "score", "predicted", "risk")
 
     return query
@@ -381,7 +385,7 @@ def _linear(spark, sf_dir):
     from ..ml.explain import explain_linear
 
     base = _base(spark, sf_dir).select("customer_id", "frequency", round_even(F.col("avg_order_value"), 2).alias("avg_order_value"))
-    return explain_linear(base, LINEAR, 1.0, most=1_000_000)
+    return explain_linear(base, LINEAR, 1.0, most=None)
 
 
 def shap_linear(spark, sf_dir):

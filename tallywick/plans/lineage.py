@@ -4,19 +4,24 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def materialised(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the cluster's folder (``spark.checkpoint.dir``);
-    a folder of our own only where none is named and the master is local."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's folder (``spark.checkpoint.dir``); a folder of our own only
+    where none is named and the master is local."""
     sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a shared folder")
+        named = tempfile.mkdtemp(prefix="tallywick-")
     if not sc.getCheckpointDir():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named:
-            if not sc.master.startswith("local"):
-                raise ValueError("spark.checkpoint.dir must name a shared folder")
-            named = tempfile.mkdtemp(prefix="tallywick-")
         sc.setCheckpointDir(named)
+    return named
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -69,7 +69,7 @@ reasons AS (SELECT *, CASE WHEN customer_id IS NULL OR customer_id = '' THEN 'bl
 REPEATS = f"{O}, q AS (SELECT * FROM o UNION ALL SELECT CAST(o_custkey AS VARCHAR), CAST(o_orderdate AS TIMESTAMP), o_totalprice FROM orders WHERE o_orderkey % 50 = 0)"
 GAPS = """g AS (SELECT CAST(l_linenumber AS INTEGER) AS line, CASE WHEN l_orderkey % 7 <> 0 THEN CAST(l_quantity AS DOUBLE) END AS quantity, CASE WHEN l_orderkey % 5 <> 0 THEN CAST(l_extendedprice AS DOUBLE) END AS price, CAST(l_discount AS DOUBLE) AS discount FROM lineitem),
 f AS (SELECT line, coalesce(quantity, (SELECT median(quantity) FROM g)) AS quantity, coalesce(price, (SELECT median(price) FROM g)) AS price, coalesce(discount, (SELECT median(discount) FROM g)) AS discount FROM g)"""
-EMB = "e AS (SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS e0, CAST(embedding[2] AS DOUBLE) AS e1, CAST(embedding[3] AS DOUBLE) AS e2 FROM embeddings)"
+EMB = "e AS (SELECT vec_id, label, " + ", ".join(f"CAST(embedding[{k + 1}] AS DOUBLE) AS e{k}" for k in range(64)) + " FROM embeddings)"
 LONG = "x AS (SELECT vec_id AS id, label AS cluster, unnest(range(1, len(embedding) + 1)) AS dim, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)"
 PAIRS = "d AS (SELECT a.vec_id AS i, a.label AS ci, b.vec_id AS j, b.label AS cj, list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS d FROM embeddings a, embeddings b)"
 SCORED = f"{BASE}, s AS (SELECT customer_id, CAST(recency_days > 120 AS INTEGER) AS label, 10.0::DOUBLE / (10.0::DOUBLE + frequency) AS score FROM base)"
@@ -127,11 +127,11 @@ SQL = {
     "standard_scale_pop": _scaled("avg({c})", "stddev_pop({c})"),
     "minmax_scale": _scaled("min({c})", "(max({c}) - min({c}))"),
     "feature_correlation": f"SELECT {r('corr(l_quantity, l_extendedprice)', 6)} AS quantity_price, {r('corr(l_discount, l_extendedprice)', 6)} AS discount_price FROM lineitem",
-    "cluster_summary": f"WITH {EMB} SELECT label, count(*) AS size, {r('count(*) / sum(count(*)) OVER () * 100', 2)} AS percentage, " + ", ".join(f"{r(f'{f}(e{k})', 6)} AS e{k}_{n}" for k in range(3) for n, f in (("mean", "avg"), ("std", "stddev_samp"), ("min", "min"), ("max", "max"))) + " FROM e GROUP BY label",
+    "cluster_summary": f"WITH {EMB} SELECT label, count(*) AS size, {r('count(*) / sum(count(*)) OVER () * 100', 2)} AS percentage, " + ", ".join(f"{r(f'{f}(e{k})', 6)} AS e{k}_{n}" for k in range(64) for n, f in (("mean", "avg"), ("std", "stddev_samp"), ("min", "min"), ("max", "max"))) + " FROM e GROUP BY label",
     "cluster_profile": f"WITH {EMB} " + " UNION ALL ".join(
         f"SELECT count(*) FILTER (label = 3) AS size, {r('count(*) FILTER (label = 3) / count(*) * 100', 2)} AS percentage, 'e{k}' AS feature, " + ", ".join(f"{r(f'{f}(e{k}) FILTER (label = 3)', 4)} AS {n}" for n, f in (("mean", "avg"), ("std", "stddev_samp"), ("median", "median"), ("min", "min"), ("max", "max")))
         + f", {r(f'avg(e{k}) FILTER (label = 3) / avg(e{k}) - 1', 4)} AS relative FROM e"
-        for k in range(3)
+        for k in range(64)
     ),
     "davies_bouldin": f"WITH {LONG}, c AS (SELECT cluster, dim, avg(x) AS c FROM x GROUP BY ALL), s AS (SELECT cluster, avg(d) AS s FROM (SELECT x.cluster, id, sqrt(sum((x - c) ** 2)) AS d FROM x JOIN c ON x.cluster = c.cluster AND x.dim = c.dim GROUP BY ALL) GROUP BY cluster), g AS (SELECT a.cluster AS i, b.cluster AS j, sqrt(sum((a.c - b.c) ** 2)) AS gap FROM c a JOIN c b ON a.dim = b.dim AND a.cluster <> b.cluster GROUP BY ALL) SELECT {r('avg(m)', 6)} AS davies_bouldin FROM (SELECT i, max((p.s + q.s) / gap) AS m FROM g JOIN s p ON p.cluster = i JOIN s q ON q.cluster = j GROUP BY i)",
     "calinski_harabasz": f"WITH {LONG}, a AS (SELECT dim, avg(x) AS a FROM x GROUP BY dim), c AS (SELECT cluster, dim, avg(x) AS c, count(*) AS n FROM x GROUP BY ALL), b AS (SELECT sum(n * (c - a) ** 2) AS b FROM c JOIN a USING (dim)), w AS (SELECT sum((x - c) ** 2) AS w, count(DISTINCT id) AS n, count(DISTINCT x.cluster) AS k FROM x JOIN c ON x.cluster = c.cluster AND x.dim = c.dim) SELECT {r('b / (k - 1) / (w / (n - k))', 4)} AS calinski_harabasz FROM b, w",

@@ -13,11 +13,11 @@ from html import escape
 from pyspark.sql import functions as F
 
 from .operators import clv as clv_ops
-from .operators.cohorts import CohortResult
 from .operators.clv import ClvResult
-from .operators.lists import CustomerLists
-from .operators.quality import QualityReport
-from .operators.segments import RfmResult, build_advice
+from .operators.cohorts import CohortResult, compute_cohorts
+from .operators.lists import CustomerLists, build_customer_lists
+from .operators.quality import QualityReport, check_orders
+from .operators.segments import RfmResult, build_advice, compute_rfm
 from .sources.ingest import IngestResult
 
 LAST_OFFSET, LIST_ROWS, ADVICE_ROWS, COHORTS_MOST = 12, 15, 8, 240
@@ -40,6 +40,16 @@ class ReportInputs:
     store_name: str = "Your store"
 
 
+def analyse(ingested: IngestResult, n_segments: int = 5, horizon_months: int = 12, clv_method: str = "auto", store: str = "Your store") -> ReportInputs:
+    """All that a report shows, from ingested orders."""
+    orders = ingested.orders.cache()
+    rfm = compute_rfm(orders, n_segments=n_segments)
+    value = clv_ops.compute_clv(orders, horizon_months=horizon_months, method=clv_method)
+    for table in (rfm.table, value.table):
+        table.cache()
+    return ReportInputs(ingested, check_orders(orders), rfm, compute_cohorts(orders), value, build_customer_lists(rfm, value), store)
+
+
 def money(x: float) -> str:
     return f"{x:,.0f}"
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +12,8 @@ from pyspark.sql import functions as F
 from .sinks import write_csv_file
 
 HISTORY_DAYS = 540
-#: Products and base prices.
-PRODUCTS = [("Ceramic mug", 18.0), ("Pour-over kit", 42.0), ("Single-origin beans 250g", 16.0), ("Cold brew bottle", 28.0), ("Gift set", 65.0), ("Espresso blend 1kg", 38.0), ("Travel tumbler", 24.0)]
+#: Products of an invented garden shop and their base prices.
+PRODUCTS = [("Trowel", 14.0), ("Seed box", 9.5), ("Watering can", 31.0), ("Pruning shears", 27.0), ("Potting soil 20 l", 12.0), ("Raised bed", 89.0), ("Herb starter", 21.0)]
 #: Archetype, share of customers, mean orders, range of days since the last order, spend factor, range of days since the first order.
 ARCHETYPES = [
     ("loyal", 0.18, 9.0, (1, 45), 1.3, (60, 540)),
@@ -84,4 +86,10 @@ def generate_orders(spark: SparkSession, n_customers: int = 900, seed: int = 42,
 
 
 def write_sample(spark: SparkSession, path: str, **options) -> str:
+    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
     return write_csv_file(generate_orders(spark, **options), path)
+
+
+def sample_path(n_customers: int, seed: int) -> str:
+    """Where the command line keeps a sample that no path was named for."""
+    return os.path.join(tempfile.gettempdir(), "tallywick", f"sample_orders_{n_customers}_{seed}.csv")

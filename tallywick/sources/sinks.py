@@ -43,3 +43,23 @@ def export_table(df: DataFrame, path: str, kind: str = "csv") -> str:
         flat.write.mode("overwrite").parquet(path)
         return path
     raise ValueError(f"no writer for {kind!r}: choose csv or parquet")
+
+
+def _folders(tables: dict[str, DataFrame], out_dir: str, kind: str) -> dict[str, str]:
+    return {name: export_table(df, os.path.join(out_dir, name), kind) for name, df in tables.items()}
+
+
+def export_clusters(result, out_dir: str, kind: str = "csv") -> dict[str, str]:
+    """The labelled rows and the summary of a clustering; name -> folder."""
+    return _folders({"clusters": result.labelled, "summary": result.summary}, out_dir, kind)
+
+
+def export_churn(result, df: DataFrame, out_dir: str, kind: str = "csv") -> dict[str, str]:
+    """Predictions for ``df`` and the model's feature importance."""
+    importance = df.sparkSession.createDataFrame(result.importance, "feature string, importance double, percentage double")
+    return _folders({"predictions": result.predict(df), "importance": importance}, out_dir, kind)
+
+
+def export_explanation(explanation, rows: DataFrame, out_dir: str, kind: str = "csv") -> dict[str, str]:
+    """The explained rows with each feature's contribution, and their importance."""
+    return _folders({"explanations": explanation.wide(rows), "explained_importance": explanation.importance}, out_dir, kind)

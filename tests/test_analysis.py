@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 from tallywick.operators import bgnbd, clv, cohorts, lists, quality, rollup, scoring, segments
 from tallywick.sources.sample import generate_orders
 
-TINY = [("A", "2024-01-15", 100.0), ("A", "2024-02-15", 120.0), ("A", "2024-03-15", 90.0), ("B", "2024-01-20", 500.0), ("C", "2024-01-25", 40.0), ("C", "2024-03-10", 60.0)]
+FEW = [("kim", "2023-05-02", 30.0), ("lou", "2023-05-31", 210.0), ("max", "2023-06-05", 75.0), ("kim", "2023-06-20", 45.5), ("max", "2023-06-25", 15.0), ("ned", "2023-06-30", 8.0), ("kim", "2023-08-01", 24.5)]
 SCHEMA = "customer_id string, order_date string, amount double"
 
 
 @pytest.fixture(scope="module")
-def tiny(spark):
-    return spark.createDataFrame(TINY, SCHEMA)
+def few(spark):
+    return spark.createDataFrame(FEW, SCHEMA)
 
 
 @pytest.fixture(scope="module")
@@ -23,23 +23,23 @@ def sample(spark):
     return generate_orders(spark, 300, seed=7).select("customer_id", "order_date", "amount").cache()
 
 
-def test_tiny_rfm(tiny):
-    got = segments.compute_rfm(tiny, reference_date=datetime(2024, 4, 1))
-    rows = {r.customer_id: r for r in got.table.collect()}
-    assert (rows["A"].monetary, rows["A"].frequency, rows["A"].recency_days) == (310.0, 3, 17)
-    assert (rows["B"].monetary, rows["B"].recency_days, rows["C"].frequency) == (500.0, 72, 2)
-    assert {(r.r_score, r.f_score, r.m_score) for r in rows.values()} == {(3, 3, 3)}
-    assert segments.compute_rfm(tiny).reference == datetime(2024, 3, 16)
+def test_values_of_a_few_customers(few):
+    got = segments.compute_rfm(few, reference_date=datetime(2023, 9, 1))
+    found = {r.customer_id: (r.recency_days, r.frequency, r.monetary) for r in got.table.collect()}
+    assert found == {"kim": (31, 3, 100.0), "lou": (93, 1, 210.0), "max": (68, 2, 90.0), "ned": (63, 1, 8.0)}
+    # fewer customers than bins: everyone gets the middle score
+    assert got.table.where("r_score <> 3 or f_score <> 3 or m_score <> 3").isEmpty()
+    assert segments.compute_rfm(few).reference == datetime(2023, 8, 2)
 
 
-def test_contract_errors(spark, tiny):
+def test_contract_errors(spark, few):
     for compute in (segments.compute_rfm, cohorts.compute_cohorts, clv.compute_clv):
         with pytest.raises(ValueError, match="empty"):
-            compute(tiny.limit(0))
+            compute(few.limit(0))
         with pytest.raises(KeyError):
-            compute(tiny.drop("amount"))
+            compute(few.drop("amount"))
     with pytest.raises(ValueError):
-        segments.compute_rfm(tiny, n_segments=1)
+        segments.compute_rfm(few, n_segments=1)
 
 
 def test_scores_equal_quantile_cut(spark):
@@ -56,7 +56,7 @@ def test_rank_without_a_single_task(spark, monkeypatch):
     rng = np.random.default_rng(0)
     rows = spark.createDataFrame([(f"c{i:04d}", int(v)) for i, v in enumerate(rng.integers(0, 20, 900))], "customer_id string, v long").repartition(7)
     plain = {r.customer_id: r.s for r in scoring.with_score(rows, "v", "s").collect()}
-    monkeypatch.setattr(scoring, "WINDOW_ROWS", 100)
+    monkeypatch.setattr(scoring, "PART_ROWS", 100)
     assert {r.customer_id: r.s for r in scoring.with_score(rows, "v", "s").collect()} == plain
 
 
@@ -69,15 +69,14 @@ def test_rules(spark):
     assert count == {"Others": 40, "Loyal Customers": 19, "Need Attention": 13, "Potential Loyalists": 12, "Champions": 8, "New Customers": 8, "Cant Lose Them": 7, "At Risk": 7, "Promising": 4, "Lost": 4, "About To Sleep": 3}
 
 
-def test_tiny_cohorts(spark, tiny):
-    got = cohorts.compute_cohorts(tiny)
+def test_cohorts_of_a_few_customers(few):
+    got = cohorts.compute_cohorts(few)
     cells = {(r.cohort, r.month_offset): (r.active, r.retention) for r in got.long.collect()}
-    assert cells == {("2024-01", 0): (3, 1.0), ("2024-01", 1): (1, 1 / 3), ("2024-01", 2): (2, 2 / 3)}
-    assert (got.max_offset, got.n_cohorts) == (2, 1)
-    assert [r.retention for r in got.curve.collect()] == [1.0, 1 / 3, 2 / 3]
-    two = spark.createDataFrame([("a", "2024-01-05", 10.0), ("a", "2024-02-05", 10.0), ("b", "2024-02-10", 10.0), ("b", "2024-04-10", 10.0)], SCHEMA)
-    wide = {r.cohort: r for r in cohorts.compute_cohorts(two).counts.collect()}
-    assert [wide["2024-02"][str(k)] for k in range(3)] == [1, None, 1]
+    assert cells == {("2023-05", 0): (2, 1.0), ("2023-05", 1): (1, 0.5), ("2023-05", 3): (1, 0.5), ("2023-06", 0): (2, 1.0)}
+    assert (got.max_offset, got.n_cohorts) == (3, 2)
+    assert {r.month_offset: r.retention for r in got.curve.collect() if r.retention is not None} == {0: 1.0, 1: 0.5, 3: 0.5}
+    wide = {r.cohort: [r[str(k)] for k in range(4)] for r in got.counts.collect()}
+    assert wide == {"2023-05": [2, 1, None, 1], "2023-06": [2, None, None, None]}
 
 
 def test_sample_properties(spark, sample):
@@ -99,9 +98,10 @@ def test_sample_properties(spark, sample):
 
 
 def test_recent_customers_are_worth_more(spark):
-    rows = [("recent", d, 100.0) for d in ("2024-01-01", "2024-06-01", "2024-12-01")] + [("lapsed", d, 100.0) for d in ("2023-01-01", "2023-03-01", "2023-05-01")] + [("x", "2024-12-15", 10.0)]
-    got = {r.customer_id: r.predicted_clv for r in clv.compute_clv(spark.createDataFrame(rows, SCHEMA)).table.collect()}
-    assert got["recent"] > got["lapsed"]
+    rows = [(who, f"{year}-{month:02d}-10", 25.0) for who, year in (("still", 2022), ("gone", 2020)) for month in (2, 4, 7, 11)] + [("other", "2022-12-20", 9.0)]
+    value = clv.compute_clv(spark.createDataFrame(rows, SCHEMA)).table
+    got = {r.customer_id: r.predicted_clv for r in value.collect()}
+    assert got["still"] > got["gone"] >= 0
 
 
 def test_lists(sample):
@@ -116,13 +116,15 @@ def test_lists(sample):
 
 
 def test_findings(spark):
-    frame = lambda rows: spark.createDataFrame(rows, SCHEMA)
-    codes = lambda rows, **k: {f.code for f in quality.check_orders(frame(rows), **k).findings}
-    assert "future_dates" in codes([("a", "2024-01-01", 1.0), ("b", (datetime.now() + timedelta(days=30)).strftime("%Y-%m-%d"), 1.0)])
-    assert "short_history" in codes([("a", "2024-01-01", 1.0), ("a", "2024-01-15", 1.0)])
-    assert codes([("a", "2024-01-01", 10.0)] * 2 + [("b", "2024-03-01", 5.0)]) == {"duplicate_rows"}
-    assert "mostly_one_time" in codes([(c, "2024-0%d-01" % (1 + k % 6), 1.0) for k, c in enumerate("abcdef")])
-    assert quality.check_orders(frame([])).n_rows == 0
+    def codes(rows):
+        return {f.code for f in quality.check_orders(spark.createDataFrame(rows, SCHEMA)).findings}
+
+    late = (datetime.now() + timedelta(days=9)).strftime("%Y-%m-%d")
+    assert "future_dates" in codes([("p", "2022-02-02", 4.0), ("q", late, 4.0)])
+    assert "short_history" in codes([("p", "2022-02-02", 4.0), ("p", "2022-02-20", 6.0)])
+    assert codes([("p", "2022-02-02", 4.0), ("q", "2022-07-08", 3.0), ("p", "2022-02-02", 4.0)]) == {"duplicate_rows"}
+    assert "mostly_one_time" in codes([(f"p{k}", f"2022-0{1 + k % 7}-15", 2.0) for k in range(8)])
+    assert quality.check_orders(spark.createDataFrame([], SCHEMA)).n_rows == 0
 
 
 def test_special_functions():

@@ -1,9 +1,14 @@
+import itertools
+import math
+import os
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tallywick.ml import churn, cluster, explain, features, metrics
+from tallywick.sources import sinks
 
 
 @pytest.fixture(scope="module")
@@ -117,3 +122,60 @@ def test_explanations(customers):
     model = churn.ChurnPredictor(trees=4).train(df, "churned", ["a", "b"], kind="logistic")
     exact = explain.explain_model(model, df, ["a", "b"], most=30)
     assert exact.summary["n_samples"] == 30 and exact.instance(0).count() == 2
+
+
+def shapley(leaves, x):
+    """Shapley values of one row by the definition, over all sets of features."""
+    n = len(x)
+
+    def known(features):
+        return sum(leaf.value * math.prod(float(a < x[f] <= b) if f in features else share for f, (a, b, share) in leaf.bounds.items()) for leaf in leaves)
+
+    out = np.zeros(n)
+    for i in range(n):
+        others = [f for f in range(n) if f != i]
+        for k in range(n):
+            for s in itertools.combinations(others, k):
+                out[i] += math.factorial(k) * math.factorial(n - k - 1) / math.factorial(n) * (known({*s, i}) - known(set(s)))
+    return out
+
+
+def test_tree_explanations_are_exact(customers, tmp_path):
+    df = customers.fillna(0.0)
+    columns = ["a", "b", "noise"]
+    for kind in ("rf", "gb"):
+        model = churn.ChurnPredictor(trees=4).train(df, "churned", columns, kind=kind)
+        leaves = explain.leaves_of(model.model.model)
+        x = np.random.default_rng(2).normal(size=(6, 3))
+        assert np.allclose(explain.leaf_effects(leaves, x), [shapley(leaves, r) for r in x])
+        got = explain.explain_model(model, df, columns, most=25)
+        rows = explain.sampled(df, columns, 25, 42)
+        scores = {r.row_id: r.score for r in model.predict(rows).collect()}
+        for r in got.values.groupBy("row_id").agg(F.sum("shap_value").alias("s")).collect():
+            total = got.base_value + r.s
+            assert abs((1 / (1 + math.exp(-total)) if kind == "gb" else total) - scores[r.row_id]) < 1e-6
+        one = got.instance(0).collect()
+        assert {r.predicted for r in one} == {int(scores[0] >= 0.5)} and abs(one[0].confidence - max(scores[0], 1 - scores[0])) < 1e-6
+    made = sinks.export_explanation(got, rows, str(tmp_path / "e")) | sinks.export_churn(model, df, str(tmp_path / "c"))
+    assert set(made) == {"explanations", "explained_importance", "predictions", "importance"} and all(os.path.isdir(p) for p in made.values())
+
+
+def test_clusters_of_more_rows_than_pairs_allow(blobs, monkeypatch, tmp_path):
+    monkeypatch.setattr(metrics, "PAIRS_MOST", 30)
+    monkeypatch.setattr(cluster, "WARD_MOST", 30)
+    got = cluster.ClusteringEngine(n_init=3, k_range=(2, 3)).fit(blobs, ["x", "y"], "auto")
+    assert got.algorithm in ("kmeans", "gmm") and got.metrics["silhouette_distance"] == "squared" and got.metrics["silhouette"] > 0.8
+    made = sinks.export_clusters(got, str(tmp_path / "k"))
+    assert set(made) == {"clusters", "summary"} and blobs.sparkSession.read.option("header", True).csv(made["summary"]).count() == got.n_clusters
+
+
+def test_splits_keep_shares_and_are_the_same_on_every_run(customers):
+    df = customers.select("a", "b", F.col("churned").alias("label"))
+    predictor = churn.ChurnPredictor()
+    parts = [predictor.stratified(x) for x in (df, df.repartition(7).orderBy("b"))]
+    assert [sorted(map(str, p[1].collect())) for p in parts][0] == sorted(map(str, parts[1][1].collect()))
+    for label in (0, 1):
+        n, m = df.where(f"label = {label}").count(), parts[0][1].where(f"label = {label}").count()
+        assert abs(m - 0.2 * n) <= 1
+    folds = predictor._folded(df).groupBy("_fold", "label").count().collect()
+    assert len(folds) == 10 and max(r["count"] for r in folds if r.label) - min(r["count"] for r in folds if r.label) <= 2

@@ -4,7 +4,7 @@ import pytest
 
 from tallywick import cli, report
 from tallywick.operators import clv, cohorts, lists, quality, segments
-from tallywick.sources import ingest, sinks
+from tallywick.sources import ingest, sample, sinks
 from tallywick.sources.sample import generate_orders, write_sample
 
 
@@ -21,7 +21,7 @@ def test_report_command(spark, sample_file, tmp_path, capsys):
         assert f"<h2>{title}</h2>" in page
     assert "<script" not in page and "&lt;script&gt;" in page and "http" not in page
     said = capsys.readouterr().out
-    assert "Loaded" in said and "auto mapping" in said
+    assert "columns (auto)" in said and f"report -> {out / 'report.html'}" in said
     with open(out / "customers.csv", encoding="utf-8") as f:
         rows = list(csv.DictReader(f))
     assert list(rows[0]) == lists.LIST_COLUMNS and len(rows) == 120
@@ -38,8 +38,16 @@ def test_other_commands(spark, sample_file, tmp_path, capsys):
     made = tmp_path / "s.csv"
     assert cli.main(["sample", "-o", str(made), "--customers", "10"]) == 0 and made.exists()
     p = tmp_path / "m.csv"
-    p.write_text("who,when,cost\na,2024-01-01,5\na,2024-03-01,6\n")
-    assert cli.main(["segments", str(p), "--map", "customer=who,date=when,amount=cost"]) == 0
+    p.write_text("buyer,day,price\nk7,2022-03-09,19\nk8,2022-05-01,4\nk7,2022-06-30,2\n")
+    assert cli.main(["segments", str(p), "--map", "customer=buyer,date=day,amount=price"]) == 0
+
+
+def test_sample_without_a_path_says_where_it_is(spark, tmp_path, monkeypatch, capsys):
+    monkeypatch.setattr(sample, "sample_path", lambda n, seed: str(tmp_path / "kept" / f"{n}.csv"))
+    for _ in range(2):  # made once, found again
+        assert cli.main(["sample", "--customers", "8"]) == 0
+        path = tmp_path / "kept" / "8.csv"
+        assert str(path) in capsys.readouterr().out and path.exists()
 
 
 def test_errors_exit_with_2(spark, tmp_path, capsys):

@@ -6,7 +6,10 @@ per-row Python is in the operators that call into a per-text library.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +45,17 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+@lru_cache(1)
+def one_thread() -> None:
+    """Matrix products of a task use its own core alone: Spark runs a task on
+    every core, and threads that wait for each other double its time."""
+    for lib in (Path(np.__file__).resolve().parents[1] / "numpy.libs").glob("*openblas*"):
+        blas = ctypes.CDLL(str(lib))
+        for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads"):
+            if hasattr(blas, name):
+                getattr(blas, name)(1)
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Row slices of a batch with about ``limit`` bytes of text each (one row
     at least), so that a kernel's arrays stay small whatever a batch holds."""

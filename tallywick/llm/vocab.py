@@ -118,17 +118,3 @@ class Bpe:
 @lru_cache(2)
 def bpe(name: str) -> Bpe:
     return Bpe(name)
-
-
-@lru_cache(2)
-def whole_words(name: str):
-    """The tokenizers library's merges for a byte-level BPE file, without its
-    pre-tokens and special strings: each text is merged as one piece."""
-    from tokenizers import Tokenizer, pre_tokenizers
-
-    with open(vocabulary_path(name), encoding="utf-8") as f:
-        spec = json.load(f)
-    spec |= {"added_tokens": [], "post_processor": None, "normalizer": None, "truncation": None, "padding": None}
-    library = Tokenizer.from_str(json.dumps(spec))
-    library.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-    return library

@@ -360,12 +360,12 @@ def _customers(spark, sf_dir):
     )
 
 
-def _fit(kind):
+def _fit(kind, **options):
     def query(spark, sf_dir):
         from ..ml.churn import ChurnPredictor
 
         df = _customers(spark, sf_dir)
-        model = ChurnPredictor().train(df, "churned", CHURN_FEATURES, kind=kind)
+        model = ChurnPredictor(**options).train(df, "churned", CHURN_FEATURES, kind=kind)
         return model.predict(df).select("customer_id", "score", "predicted", "risk")
 
     return query
@@ -466,7 +466,7 @@ def queries() -> dict:
         "pca_2d": pca_2d,
         "rf_fit": _fit("rf"),
         "gbt_fit": _fit("gb"),
-        "stacking_fit": _fit("stacking"),
+        "stacking_fit": _fit("stacking", trees=20),
         "calibrated_rf": _fit("calibrated"),
         "grid_search": grid_search,
         "shap_linear": shap_linear,

@@ -70,25 +70,25 @@ def fingerprints_of(buf: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE
     return np.packbits(set_bits, axis=1).view(">u8").ravel().astype(np.uint64)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long) and the long columns ``carry`` of every row."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """doc_id and fp (the 64 bits as a signed long) of every row."""
 
     def run(batches):
         for whole in batches:
             for batch in slices(whole, "text"):
                 fp = fingerprints_of(*utf8(batch.column(1)), shingle=shingle)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64)), *batch.columns[2:]], ["doc_id", "fp", *carry])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *carry)
-    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "fp", *carry)))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, fp long")
 
 
 def _half_keys(fps: DataFrame) -> DataFrame:
-    """Keys of both halves: each as it is (pos 32) and with each bit a wildcard."""
-    k = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(65))).alias("k"))
-    pos, side = F.col("k") % 33, F.floor(F.col("k") / 33).cast("long")
+    """Keys of both halves, with each bit a wildcard (equal halves meet in all)."""
+    k = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("k"))
+    pos, side = F.col("k") % 32, F.floor(F.col("k") / 32).cast("long")
     half = F.when(side == 0, F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))).otherwise(F.shiftrightunsigned("fp", 32))
-    mask = F.when(pos < 32, F.expr("~shiftleft(1L, k % 33)")).otherwise(F.lit(-1).cast("long"))
+    mask = F.expr("~shiftleft(1L, k % 32)")
     return k.select((F.shiftleft(side, 38) + F.shiftleft(pos.cast("long"), 32) + half.bitwiseAND(mask)).alias("key"), F.lit(0).alias("sub"), "fp")
 
 
@@ -216,16 +216,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def digests(found: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_first(docs: DataFrame) -> DataFrame:
-    """One row of each group of near copies: that of least id, a row without id
-    only where none has one.  Rows are told apart by two hashes of all their
-    columns, not by their id; of wholly equal rows one stays."""
-    keys = ("row_a", "row_b")
-    row = [F.struct(*docs.columns), *(F.col(c).isNull() for c in docs.columns)]
-    keyed = docs.withColumns({"row_a": F.xxhash64(*row), "row_b": F.xxhash64(F.lit(1), *row)})
-    fps = written(fingerprints(keyed, carry=keys), "fingerprints")
-    rows = fps.join(_named(fps, BITS).select("fp", "root"), "fp")
-    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", *keys)).alias("m"))
-    return keyed.join(first.select("m.row_a", "m.row_b"), list(keys), "left_semi").dropDuplicates(list(keys)).select(*docs.columns)

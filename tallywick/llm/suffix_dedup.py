@@ -25,12 +25,15 @@ the parse suffix at the remaining depth) is the corpus order of the strings at
 depth ``LENGTH``: two strings are equal if both classes are.  No hash decides a
 match.
 
-*Cut.*  Each phrase's matched range goes back to its block and the ranges of a
-text are merged.
+*Cut.*  Each phrase's matched range goes back to the blocks that sent it, under
+128 bits of hash that name the phrase within its block; the block cuts its texts
+into phrases again, and the ranges of a text are merged.
 
 The text goes through one shuffle, by block; all later steps use that exchange
-again.  A block or bucket holds a bounded number of bytes, whatever the size of
-the corpus, of a group of copies, or of a hot passage within blocks.
+again.  Wholly equal rows of a batch travel as one with their number, so a group
+of equal rows (copies without id, say) doesn't fill its block.  A passage that
+stands in every block sends its phrases to their buckets once a block, however
+many texts of the block hold it; its buckets grow with the number of blocks.
 
 Null texts are empty; texts shorter than ``LENGTH`` lose nothing; rows with the
 same id (or wholly repeated rows) are texts of their own; an empty table gives
@@ -47,8 +50,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .kernels import slices, utf8, window_hashes
-from .shared import shuffle_width
+from .kernels import mix, slices, span_hashes, utf8, window_hashes
+from .shared import block_count, collapsed, expanded
 
 LENGTH, CONTEXT = 200, 64
 #: Bytes of a rolling-hash window; rates of the two kinds of triggers, as powers of two.
@@ -169,11 +172,14 @@ def _contexts(length: int, context: int, buckets: int):
     occur in it more than once."""
 
     def run(table: pa.Table) -> pa.Table:
-        keys = [np.zeros(0, np.uint64)]
+        keys, n = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for batch in table.to_batches():
             for part in slices(batch, "text"):
-                keys.append(Phrases(*utf8(part.column("text")), length, context).key)
-        keys, n = np.unique(np.concatenate(keys), return_counts=True)
+                p = Phrases(*utf8(part.column("text")), length, context)
+                keys.append(p.key)
+                n.append(np.asarray(part.column("_copies"))[p.text])
+        keys, at = np.unique(np.concatenate(keys), return_inverse=True)
+        n = np.bincount(at, np.concatenate(n), len(keys))
         bucket = _bucket(keys, buckets)
         order = np.argsort(bucket, kind="stable")
         keys, n, bucket = keys[order], n[order], bucket[order]
@@ -207,82 +213,97 @@ def _repeated(table: pa.Table) -> pa.Table:
     return pa.table({"block": pa.array(block[kept], pa.int32()), "keys": pa.array([out[k] for k in kept], pa.binary())})
 
 
+#: What a block knows a phrase by: 128 bits of hash of its bytes and its trigger's place.
+NAME = np.dtype([("a", np.uint64), ("b", np.uint64)])
+
+
+def _names(p: Phrases, buf: np.ndarray, length: int) -> np.ndarray:
+    out = np.zeros(len(p.key), NAME)
+    out["a"] = mix(span_hashes(buf, p.start, p.stop + length) + (p.trigger - p.start).astype(np.uint64))
+    out["b"] = p.key
+    return out
+
+
 def _phrases(length: int, context: int, buckets: int):
     """Per block: its distinct phrases with a repeated context, by bucket."""
 
     def run(texts: pa.Table, repeated: pa.Table) -> pa.Table:
-        names = ["bucket", "block", "content", "size", "left", "weight", "places"]
-        schema = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), *[(c, pa.binary()) for c in names[2:]]])
+        kinds = ["content", "names", "size", "left", "weight"]
+        schema = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), *[(c, pa.binary()) for c in kinds]])
         if not len(texts) or not len(repeated):
             return schema.empty_table()
         wanted = np.sort(np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in repeated.column("keys")]))
-        seen: dict[bytes, int] = {}
-        places: list[list[tuple[int, int]]] = []
-        bucket, left = [], []
+        names, found, copies, whole, base = [], [], [], [], 0
         for batch in texts.to_batches():
             for part in slices(batch, "text"):
                 buf, offsets = utf8(part.column("text"))
-                row = np.asarray(part.column("rid"))
                 p = Phrases(buf, offsets, length, context)
                 at = np.minimum(np.searchsorted(wanted, p.key), len(wanted) - 1)
                 kept = np.flatnonzero(wanted[at] == p.key)
-                view = memoryview(buf.tobytes())
-                text = p.text[kept]
-                for k, to, s, e, t, r, o in zip(p.key[kept].tolist(), _bucket(p.key[kept], buckets).tolist(), p.start[kept].tolist(), p.stop[kept].tolist(), p.trigger[kept].tolist(), row[text].tolist(), offsets[text].tolist(), strict=True):
-                    # the trigger's place first: equal bytes have equal triggers, but it costs nothing to be sure
-                    name = bytes((t - s,)) + bytes(view[s : e + length])
-                    i = seen.get(name)
-                    if i is None:
-                        i = seen[name] = len(places)
-                        places.append([])
-                        bucket.append(to)
-                        left.append(t - s)
-                    places[i].append((r, s - o))
-        order = np.argsort(np.array(bucket, np.int32), kind="stable")
-        start, size = _runs(np.array(bucket, np.int32)[order])
-        content = list(seen)
-        rows = {c: [] for c in names}
-        block = texts.column("block")[0].as_py()
-        for s, z in zip(start, size, strict=True):
-            own = order[s : s + z].tolist()
-            rows["bucket"].append(bucket[own[0]])
-            rows["block"].append(block)
-            rows["content"].append(b"".join(content[i][1:] for i in own))
-            rows["size"].append(np.array([len(content[i]) - 1 for i in own], np.int32).tobytes())
-            rows["left"].append(np.array([left[i] for i in own], np.int32).tobytes())
-            rows["weight"].append(np.array([len(places[i]) for i in own], np.int32).tobytes())
-            rows["places"].append(np.array([p for i in own for p in places[i]], np.int64).tobytes())
+                names.append(_names(p, buf, length)[kept])
+                found.append(np.stack([p.start[kept] + base, p.stop[kept] + length - p.start[kept], p.trigger[kept] - p.start[kept]]))
+                copies.append(np.asarray(part.column("_copies"))[p.text[kept]])
+                whole.append(buf)
+                base += len(buf)
+        names, first, at = np.unique(np.concatenate(names), return_index=True, return_inverse=True)
+        begin, size, left = np.concatenate(found, axis=1)[:, first]
+        weight = np.bincount(at, np.concatenate(copies), len(names)).astype(np.int64)
+        whole = memoryview(np.concatenate(whole).tobytes())
+        bucket = _bucket(names["b"], buckets)
+        order = np.argsort(bucket, kind="stable")
+        rows = {c: [] for c in schema.names}
+        for s, z in zip(*_runs(bucket[order]), strict=True):
+            own = order[s : s + z]
+            rows["bucket"].append(int(bucket[own[0]]))
+            rows["content"].append(b"".join([whole[b : b + n] for b, n in zip(begin[own].tolist(), size[own].tolist(), strict=True)]))
+            for c, values, kind in (("names", names, NAME), ("size", size, np.int32), ("left", left, np.int32), ("weight", weight, np.int32)):
+                # a phrase that occurs twice is as good as one that occurs more often
+                rows[c].append((np.minimum(values[own], 2) if c == "weight" else values[own]).astype(kind).tobytes())
+        rows["block"] = [texts.column("block")[0].as_py()] * len(rows["bucket"])
         return pa.table(rows, schema)
 
     return run
 
 
+#: A phrase whose strings from ``low`` to ``high`` bytes before its trigger occur again.
+RANGE = np.dtype([*NAME.descr, ("low", np.int16), ("high", np.int16)])
+
+
 def _match(length: int, context: int):
-    """Per bucket: the matched ranges of its phrases, by block."""
+    """Per bucket: which strings of its phrases occur again, by block."""
 
     def run(table: pa.Table) -> pa.Table:
         gather = lambda c, kind: np.concatenate([np.frombuffer(x.as_py(), kind) for x in table.column(c)])
         content, size, left, weight = gather("content", np.uint8), gather("size", np.int32).astype(np.int64), gather("left", np.int32).astype(np.int64), gather("weight", np.int32)
-        base = np.concatenate([[0], np.cumsum(size)[:-1]])
-        low, high = matched(content, base, size, left, weight, length, context)
+        low, high = matched(content, np.cumsum(size) - size, size, left, weight, length, context)
         blocks, ranges, at = [], [], 0
-        for block, places, sizes in zip(table.column("block"), table.column("places"), table.column("weight"), strict=True):
-            n = np.frombuffer(sizes.as_py(), np.int32)
-            place = np.frombuffer(places.as_py(), np.int64).reshape(-1, 2)
-            own = np.repeat(np.arange(at, at + len(n)), n)
-            at += len(n)
-            hit = high[own] >= 0
-            own, place = own[hit], place[hit]
+        for block, names in zip(table.column("block"), table.column("names"), strict=True):
+            names = np.frombuffer(names.as_py(), NAME)
+            own = np.zeros(len(names), RANGE)
+            own["a"], own["b"], own["low"], own["high"] = names["a"], names["b"], low[at : at + len(names)], high[at : at + len(names)]
+            at += len(names)
+            own = own[own["high"] >= 0]
             if len(own):
-                begin = place[:, 1] + left[own] - high[own]
-                end = place[:, 1] + left[own] - low[own] + length
                 blocks.append(block.as_py())
-                ranges.append(np.stack([place[:, 0], begin, end], axis=1).tobytes())
+                ranges.append(own.tobytes())
         return pa.table({"block": pa.array(blocks, pa.int32()), "ranges": pa.array(ranges, pa.binary())})
 
     return run
 
 
+def _spans(p: Phrases, names: np.ndarray, ranges: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, begin, end in the buffer) of what goes, sorted by text and begin."""
+    if not len(ranges) or not len(names):
+        none = np.zeros(0, np.int64)
+        return none, none, none
+    at = np.minimum(np.searchsorted(ranges["a"], names["a"]), len(ranges) - 1)
+    hit = np.flatnonzero((ranges["a"][at] == names["a"]) & (ranges["b"][at] == names["b"]))
+    at = at[hit]
+    text, begin, end = p.text[hit], p.trigger[hit] - ranges["high"][at], p.trigger[hit] - ranges["low"][at] + length
+    order = np.lexsort((begin, text))
+    return text[order], begin[order], end[order]
+
+
 def _whole_characters(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Spans without the characters that they hold only a part of."""
     inner = lambda i: 0 < i < len(text) and text[i] & 0xC0 == 0x80
@@ -297,25 +318,26 @@ def _whole_characters(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[i
     return out
 
 
-def _cut(carry: list[str], keep_text: bool, added: list[tuple[str, pa.DataType]]):
+def _cut(carry: list[str], keep_text: bool, added: list[tuple[str, pa.DataType]], length: int, context: int):
     """Per block: what is left of its texts."""
 
     def run(texts: pa.Table, found: pa.Table) -> pa.Table:
-        ranges = np.concatenate([np.zeros((0, 3), np.int64), *[np.frombuffer(x.as_py(), np.int64).reshape(-1, 3) for x in found.column("ranges")]])
-        ranges = ranges[np.lexsort((ranges[:, 1], ranges[:, 0]))]
-        rows = ranges[:, 0]
+        ranges = np.concatenate([np.zeros(0, RANGE), *[np.frombuffer(x.as_py(), RANGE) for x in found.column("ranges")]])
+        ranges = ranges[np.argsort(ranges["a"], kind="stable")]
         columns: dict[str, list] = {c: [] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept_text")}
         texts = texts.combine_chunks()
         for batch in texts.to_batches():
             for part in slices(batch, "text"):
                 buf, offsets = utf8(part.column("text"))
                 raw = memoryview(buf.tobytes())
-                row = np.asarray(part.column("rid"))
-                lo, hi = np.searchsorted(rows, row), np.searchsorted(rows, row, "right")
-                for k in range(len(row)):
+                p = Phrases(buf, offsets, length, context)
+                owner, begin, end = _spans(p, _names(p, buf, length), ranges, length)
+                begin, end = begin - offsets[owner], end - offsets[owner]
+                lo = np.searchsorted(owner, np.arange(len(offsets)))
+                for k in range(len(offsets) - 1):
                     text = raw[offsets[k] : offsets[k + 1]]
                     spans: list[tuple[int, int]] = []
-                    for a, b in ranges[lo[k] : hi[k], 1:].tolist():
+                    for a, b in zip(begin[lo[k] : lo[k + 1]].tolist(), end[lo[k] : lo[k + 1]].tolist(), strict=True):
                         if spans and a <= spans[-1][1]:
                             spans[-1] = (spans[-1][0], max(b, spans[-1][1]))
                         else:
@@ -352,21 +374,22 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_i
         raise ValueError("length must be from 64 to 319 bytes")
     carry = [c for c in (carry or []) if c not in (id_col, text_col)]
     total = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
-    blocks = max(2 * shuffle_width(spark), -(-total // BLOCK_BYTES))
+    blocks = block_count(spark, total, BLOCK_BYTES)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), *carry, F.xxhash64(F.col(id_col), text).alias("rid"))
-    rows = rows.withColumn("block", F.pmod("rid", F.lit(blocks)).cast("int"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), *carry)
+    rows = collapsed(rows).withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
     contexts = rows.groupBy("block").applyInArrow(_contexts(length, context, blocks), "bucket int, block int, once binary, more binary")
     repeated = contexts.groupBy("bucket").applyInArrow(_repeated, "block int, keys binary")
     phrases = (
         rows.groupBy("block")
         .cogroup(repeated.groupBy("block"))
-        .applyInArrow(_phrases(length, context, blocks), "bucket int, block int, content binary, size binary, left binary, weight binary, places binary")
+        .applyInArrow(_phrases(length, context, blocks), "bucket int, block int, content binary, names binary, size binary, left binary, weight binary")
     )
     found = phrases.groupBy("bucket").applyInArrow(_match(length, context), "block int, ranges binary")
     last = [("n_bytes", "long", pa.int64()), ("n_removed", "long", pa.int64()), ("n_spans", "long", pa.int64()), ("kept_sha256", "string", pa.string())]
     if keep_text:
         last += [("spans", "array<struct<from: long, to: long>>", pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))), ("kept_text", "string", pa.string())]
-    fields = [f for f in rows.schema.fields if f.name in ("doc_id", *carry)]
+    fields = [f for f in rows.schema.fields if f.name in ("doc_id", *carry, "_copies")]
     out = T.StructType([*fields, *[T.StructField(n, T._parse_datatype_string(t)) for n, t, _ in last]])
-    return rows.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_cut(["doc_id", *carry], keep_text, [(n, t) for n, _, t in last]), out)
+    left = rows.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_cut([f.name for f in fields], keep_text, [(n, t) for n, _, t in last], length, context), out)
+    return expanded(left)

@@ -4,6 +4,7 @@ from collections import Counter
 import numpy as np
 
 from tallywick.llm import suffix_dedup
+from tallywick.llm.shared import collapsed, expanded
 
 from .texts import ODD_TEXTS, documents
 
@@ -87,3 +88,22 @@ def test_repeated_rows_other_length_and_empty_table(spark):
     docs = documents(spark, [one, one, None], [3, 3, 4])
     assert sorted((r.doc_id, r.n_removed) for r in suffix_dedup.repeated_strings(docs, length=100, keep_text=False).collect()) == [(3, len(one)), (3, len(one)), (4, 0)]
     assert suffix_dedup.repeated_strings(documents(spark, []), keep_text=False).collect() == []
+
+
+def test_equal_rows_missing_ids_and_long_texts(spark):
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), rng.integers(2, 9)))
+    passage = " ".join(word() for _ in range(60))
+    long = " ".join(word() for _ in range(30_000))
+    texts = [passage] * 10_000 + [long, long[:50_000] + "#" + passage + "#" + long[-50_000:], "x" * 400_000, "short", None]
+    ids = [None] * 10_000 + [1, 2, 3, 3, None]
+    docs = documents(spark, texts, ids).repartition(3)
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup.repeated_strings(docs, keep_text=False).collect())
+    n, m = len(passage), len(long)
+    assert got == {(None, n, n, 1): 10_000, (1, m, 100_000, 2): 1, (2, 100_002 + n, 100_000 + n, 3): 1, (3, 400_000, 400_000, 1): 1, (3, 5, 0, 0): 1, (None, 0, 0, 0): 1}
+
+
+def test_equal_rows_travel_as_one(spark):
+    docs = documents(spark, ["same"] * 5000 + ["other"], [None] * 5000 + [1]).coalesce(1)
+    kept = collapsed(docs.select("doc_id", "text"))
+    assert kept.count() <= 3 and sorted(expanded(kept).groupBy("text").count().collect()) == [("other", 1), ("same", 5000)]

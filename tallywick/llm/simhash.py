@@ -107,9 +107,10 @@ def forest(fps: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     label = np.arange(n)
     while True:
         before = label.copy()
-        for lo in range(0, n, GROUP):
-            linked = np.bitwise_count(fps[lo : lo + GROUP, None] ^ fps[None, :]) <= bits
-            label[lo : lo + GROUP] = np.where(linked, label[None, :], n).min(axis=1)
+        step = max(1, (1 << 22) // n)  # 2**22 pairs at a time
+        for lo in range(0, n, step):
+            linked = np.bitwise_count(fps[lo : lo + step, None] ^ fps[None, :]) <= bits
+            label[lo : lo + step] = np.where(linked, label[None, :], n).min(axis=1)
         label = label[label]
         if np.array_equal(label, before):
             break

@@ -466,7 +466,7 @@ def queries() -> dict:
         "pca_2d": pca_2d,
         "rf_fit": _fit("rf"),
         "gbt_fit": _fit("gb"),
-        "stacking_fit": _fit("stacking", trees=20),
+        "stacking_fit": _fit("stacking", trees=10, folds=2),
         "calibrated_rf": _fit("calibrated"),
         "grid_search": grid_search,
         "shap_linear": shap_linear,

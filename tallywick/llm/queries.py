@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, chat, decontaminate, langid, lm, merkle, quality, simhash, suffix_dedup, token_counts, transducer
+from . import alignment, chat, decontaminate, hard_negatives, langid, lm, merkle, quality, simhash, suffix_dedup, token_counts, transducer
 from .shared import crc_mod, table
 
 
@@ -59,6 +59,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents"))
 
@@ -75,5 +79,6 @@ def queries() -> dict:
         "op8_simhash": op8_simhash,
         "op9_token_counts": op9_token_counts,
         "op10_decontaminate": op10_decontaminate,
+        "op11_hard_negatives": op11_hard_negatives,
         "op12_token_alignment": op12_token_alignment,
     }

@@ -42,6 +42,18 @@ FROM positives p JOIN scores n ON n.anchor = p.anchor AND NOT n.same AND 80 * p.
 QUALIFY row_number() OVER (PARTITION BY p.anchor, p.vec_id ORDER BY n.score DESC, n.vec_id) <= 5
 """
 
+OP13 = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n FROM pages
+), top AS (
+  SELECT *, max(page_id) OVER (PARTITION BY html) AS top FROM p
+)
+SELECT page_id, n AS payload_bytes, sha1(html) AS payload_digest,
+  CASE WHEN n >= 1000 AND top IS NOT NULL AND page_id IS DISTINCT FROM top THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 1000 AND page_id IS DISTINCT FROM top THEN top END AS refers_to
+FROM top
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_format": OP3, "op11_hard_negatives": OP11}
+    return {"op3_chat_format": OP3, "op11_hard_negatives": OP11, "op13_warc": OP13}

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, chat, decontaminate, hard_negatives, langid, lm, merkle, quality, simhash, suffix_dedup, token_counts, transducer
+from . import alignment, chat, decontaminate, hard_negatives, langid, lm, merkle, quality, simhash, suffix_dedup, token_counts, transducer, warc
 from .shared import crc_mod, table
 
 
@@ -67,6 +67,10 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents"))
 
 
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict:
     return {
         "op1_suffix_dedup": op1_suffix_dedup,
@@ -81,4 +85,5 @@ def queries() -> dict:
         "op10_decontaminate": op10_decontaminate,
         "op11_hard_negatives": op11_hard_negatives,
         "op12_token_alignment": op12_token_alignment,
+        "op13_warc": op13_warc,
     }

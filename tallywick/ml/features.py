@@ -7,15 +7,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.selection import percentiles
+
 
 def numeric_columns(df: DataFrame, exclude: tuple[str, ...] = ()) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType) and f.name not in exclude]
 
 
 def medians(df: DataFrame, columns: list[str]) -> dict[str, float]:
-    """Exact interpolated medians of all columns in one job (null, NaN: left out)."""
-    row = df.agg(*[F.median(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))).alias(c) for c in columns]).first()
-    return {c: 0.0 if row[c] is None else float(row[c]) for c in columns}
+    """Exact interpolated medians of all columns (null, NaN: left out; 0 where
+    nothing is left)."""
+    return {c: q or 0.0 for c, (q,) in percentiles(df, {c: [0.5] for c in columns}).items()}
 
 
 def impute(df: DataFrame, values: dict[str, float]) -> DataFrame:
@@ -29,7 +31,8 @@ def scaling(df: DataFrame, columns: list[str], method: str = "standard") -> dict
     if method == "minmax":
         pair = lambda c: (F.min(c), F.max(c) - F.min(c))
     elif method == "robust":
-        pair = lambda c: (F.median(c), F.percentile(c, 0.75) - F.percentile(c, 0.25))
+        found = percentiles(df, {c: [0.25, 0.5, 0.75] for c in columns})
+        return {c: (m or 0.0, (high or 0.0) - (low or 0.0) or 1.0) for c, (low, m, high) in found.items()}
     elif method == "standard":
         pair = lambda c: (F.avg(c), F.stddev_pop(c))
     else:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.lineage import materialised
+from ..plans.selection import percentiles
 
 
 def confusion(scored: DataFrame, label: str = "label", predicted: str = "predicted") -> DataFrame:
@@ -73,11 +74,12 @@ def cluster_summary(df: DataFrame, columns: list[str], cluster: str = "cluster")
 
 def cluster_profile(df: DataFrame, columns: list[str], cluster_id: int, cluster: str = "cluster") -> DataFrame:
     """One row per column: statistics of one cluster and its mean relative to
-    the overall mean, from one pass over the table."""
+    the overall mean, from one pass over the table after the exact medians."""
+    median = {c: q for c, (q,) in percentiles(df.where(F.col(cluster) == cluster_id), {c: [0.5] for c in columns}).items()}
     own = lambda c: F.when(F.col(cluster) == cluster_id, F.col(c))
     aggs = [F.count_if(F.col(cluster) == cluster_id).alias("size"), F.count("*").alias("every")]
     for c in columns:
-        aggs += [F.avg(own(c)).alias(f"{c}|mean"), F.stddev_samp(own(c)).alias(f"{c}|std"), F.median(own(c)).alias(f"{c}|median"), F.min(own(c)).alias(f"{c}|min"), F.max(own(c)).alias(f"{c}|max"), F.avg(c).alias(f"{c}|all")]
+        aggs += [F.avg(own(c)).alias(f"{c}|mean"), F.stddev_samp(own(c)).alias(f"{c}|std"), F.lit(median[c]).cast("double").alias(f"{c}|median"), F.min(own(c)).alias(f"{c}|min"), F.max(own(c)).alias(f"{c}|max"), F.avg(c).alias(f"{c}|all")]
     one = df.agg(*aggs)
     r4 = lambda x: F.rint(x * 10000) / 10000
     rows = F.array(*[
@@ -149,7 +151,8 @@ def knn(df: DataFrame, k: int = 5, row_id: str = "vec_id", vector: str = "embedd
 
 def knn_distance_percentile(df: DataFrame, k: int = 5, share: float = 0.9, **columns) -> DataFrame:
     """One row: the percentile of the distance to the k-th nearest row."""
-    return knn(df, k, **columns).where(F.col("rank") == k).agg(F.percentile("d", F.lit(share)).alias("distance"))
+    (found,) = percentiles(knn(df, k, **columns).where(F.col("rank") == k), {"d": [share]})["d"]
+    return df.sparkSession.createDataFrame([(found,)], "distance double")
 
 
 def squared_silhouette(df: DataFrame, vector: str = "features", cluster: str = "cluster") -> float:

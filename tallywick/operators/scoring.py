@@ -1,22 +1,20 @@
 """Quantile scores of row ranks.
 
-The rank is 1..n with ties in order of id.  Bin edges are the linear quantiles of
-1..n, so they follow from (n, bins) alone: at most bins - 1 literals.  For the
-rank, rows are range-partitioned and sorted, and each partition's offset (a number
-per partition) turns positions into ranks, so no task sorts all customers.
+The rank is 1..n with ties in order of id as text.  Bin edges are the linear
+quantiles of 1..n, so they follow from (n, bins) alone: at most bins - 1 ranks of
+each value.  The (value, id) pairs at these ranks are found by counting, for all
+scores in the same passes, and a row's score follows from comparing it with them:
+no row is sorted, numbered or dealt out again.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.lineage import materialised
-
-#: Rows in a range of the rank, on average.
-PART_ROWS = 500_000
+from ..plans.selection import Selector, key_of, kept, nth_texts
 
 
 def interior_edges(n: int, bins: int) -> list[float]:
@@ -31,55 +29,51 @@ def interior_edges(n: int, bins: int) -> list[float]:
     return out
 
 
-def rank_score(rank: Column, n: int, bins: int) -> Column:
-    """1 + number of interior edges below the rank."""
-    score = F.lit(1)
-    for edge in interior_edges(n, bins):
-        score = score + (rank > F.lit(edge)).cast("int")
-    return score
-
-
-def with_rank(df: DataFrame, value: str, tie: str, out: str, n: int) -> DataFrame:
-    """Adds the rank of ``value``, ties by ``tie``."""
-    parts = max(2, -(-n // PART_ROWS))
-    placed = df.repartitionByRange(parts, value, tie).sortWithinPartitions(value, tie).withColumn("_at", F.monotonically_increasing_id())
-    placed = materialised(placed)  # both passes must see the same ranges
-    part, at = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    sizes = sorted((r[0], r[1]) for r in placed.groupBy(part.alias("p")).count().collect())
-    offset, before = F.lit(0).cast("long"), 0
-    offsets = {}
-    for p, size in sizes:
-        offsets[p] = before
-        before += size
-    start = F.element_at(F.create_map(*[F.lit(x).cast("long") for pair in offsets.items() for x in pair]), part.cast("long")) if offsets else offset
-    return placed.withColumn(out, (start + at + 1).cast("long")).drop("_at")
-
-
-def with_score(df: DataFrame, value: str, out: str, bins: int = 5, ascending: bool = True, tie: str = "customer_id") -> DataFrame:
-    """Adds a score from 1 to ``bins`` (``ascending``: more is better).  Too few
-    rows or a constant column give everyone the middle score, never inverted."""
-    if bins < 2:
-        raise ValueError("there must be two bins at least")
-    n, least, most = df.agg(F.count("*"), F.min(value), F.max(value)).first()
-    if n < bins or least == most:
-        return df.withColumn(out, F.lit((bins + 1) // 2))
-    ranked = with_rank(df, value, tie, "_rank", n)
-    score = rank_score(F.col("_rank"), n, bins)
-    return ranked.withColumn(out, score if ascending else F.lit(bins + 1) - score).drop("_rank")
+def cut_ranks(n: int, bins: int) -> list[int]:
+    """The least rank above each interior edge."""
+    return [math.floor(edge) + 1 for edge in interior_edges(n, bins)]
 
 
 def with_scores(df: DataFrame, wanted: list[tuple[str, str, bool]], bins: int = 5, tie: str = "customer_id") -> DataFrame:
-    """:func:`with_score` for several (value, out, ascending) with one job for
-    all their counts and ranges."""
+    """Adds scores from 1 to ``bins`` for several (value, out, ascending);
+    ``ascending``: more is better.  Too few rows or a constant column give everyone
+    the middle score, never inverted.  Nulls rank first."""
     if bins < 2:
         raise ValueError("there must be two bins at least")
-    facts = df.agg(F.count("*"), *[f(v) for v, _, _ in wanted for f in (F.min, F.max)]).first()
-    n = facts[0]
-    for k, (value, out, ascending) in enumerate(wanted):
-        if n < bins or facts[1 + 2 * k] == facts[2 + 2 * k]:
+    values = [v for v, _, _ in wanted]
+    keys = {v: f"_key{k}" for k, v in enumerate(values)}
+    narrow = df.select(F.col(f"`{tie}`").cast("string").alias("_tie"), *[key_of(df, v).alias(keys[v]) for v in keys])
+    with kept(narrow) as rows:
+        n = rows.count()
+        found = Selector(rows, list(keys.values()))
+        ranks, cuts = [], []
+        for v in values:
+            nulls = n - found.count(keys[v])
+            lo, hi = found.extent.get(list(keys).index(v), (0, 0, 0))[1:]
+            if n < bins or nulls == n or (lo == hi and not nulls):
+                continue
+            for rank in cut_ranks(n, bins):
+                cuts.append((v, rank - 1, nulls))
+                if rank - 1 >= nulls:
+                    ranks.append((keys[v], rank - 1 - nulls))
+        places = iter(found.places(ranks)) if ranks else iter(())
+        at = [(v, next(places), rank - nulls) if rank >= nulls else (v, None, rank) for v, rank, nulls in cuts]
+        # rows of one value are told apart by the tie
+        straddling = [(keys[v], p.value if p else None, rank - p.less if p else rank, p.equal if p else n - found.count(keys[v])) for v, p, rank in at]
+        ties = nth_texts(rows, "_tie", list(keys.values()), straddling) if straddling else []
+    for value, out, ascending in wanted:
+        steps = [(p, t) for (v, p, _), t in zip(at, ties, strict=True) if v == value]
+        if not steps:
             df = df.withColumn(out, F.lit((bins + 1) // 2))
             continue
-        df = with_rank(df, value, tie, "_rank", n)
-        score = rank_score(F.col("_rank"), n, bins)
-        df = df.withColumn(out, score if ascending else F.lit(bins + 1) - score).drop("_rank")
+        key, text, score = key_of(df, value), F.col(f"`{tie}`").cast("string"), F.lit(1)
+        for p, t in steps:
+            above = (key > F.lit(p.value)) | ((key == F.lit(p.value)) & (text >= F.lit(t))) if p else key.isNotNull() | (text >= F.lit(t))
+            score = score + F.coalesce(above, F.lit(False)).cast("int")
+        df = df.withColumn(out, score if ascending else F.lit(bins + 1) - score)
     return df
+
+
+def with_score(df: DataFrame, value: str, out: str, bins: int = 5, ascending: bool = True, tie: str = "customer_id") -> DataFrame:
+    """:func:`with_scores` for one value."""
+    return with_scores(df, [(value, out, ascending)], bins, tie)

@@ -12,9 +12,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.lineage import materialised
+from ..plans.lineage import Folder, in_folder, materialised
 from . import features as prep
 from . import metrics
+from .neighbours import density_clusters
 
 WARD_MOST = 3_000
 ROW = "_row"
@@ -45,6 +46,7 @@ class ClusteringEngine:
     scaling: str = "standard"
     seed: int = 42
     n_init: int = 10
+    silhouette_rows: int | None = None
 
     # preparation -----------------------------------------------------------
     def prepared(self, df: DataFrame, columns: list[str] | None) -> tuple[DataFrame, list[str], dict]:
@@ -90,26 +92,12 @@ class ClusteringEngine:
         return np.array([r[0] for r in rows], np.int64), np.array([r.v for r in rows])
 
     def dbscan(self, x: DataFrame, eps: float, min_samples: int) -> DataFrame:
-        """Density clusters (-1: noise), numbered by their first row.  Neighbours
-        come from the bounded distance join; labels spread over core rows."""
+        """Density clusters (-1: noise), numbered by their first row."""
         v = x.select(F.col(ROW).alias("id"), vector_to_array("features").alias("v"))
-        near = materialised(metrics._distances(v, "id", "v").where(F.col("d") <= eps).select(F.col("a_id").alias("a"), F.col("b_id").alias("b")))
-        core = near.groupBy("a").count().where(F.col("count") >= min_samples).select(F.col("a").alias("core"))
-        links = near.join(core, near["a"] == core["core"]).drop("core").join(core, F.col("b") == core["core"]).drop("core")
-        label = materialised(core.select(F.col("core").alias("a"), F.col("core").alias("label")))
-        while True:
-            spread = links.join(label.withColumnsRenamed({"a": "b"}), "b").groupBy("a").agg(F.min("label").alias("new"))
-            moved = materialised(label.join(spread, "a").select("a", F.least("label", "new").alias("label"), (F.col("new") < F.col("label")).alias("_moved")))
-            label = moved.select("a", "label")
-            if moved.where("_moved").isEmpty():
-                break
-        border = near.join(label.withColumnsRenamed({"a": "b"}), "b").groupBy("a").agg(F.min("label").alias("label"))
-        own = label.withColumnRenamed("label", "own")
-        every = border.join(own, "a", "left").select("a", F.coalesce("own", "label").alias("label"))
-        names = [r[0] for r in every.select("label").distinct().orderBy("label").collect()]
-        number = F.create_map(*[F.lit(z).cast("long") for pair in zip(names, range(len(names)), strict=True) for z in pair]) if names else None
-        numbered = every.select(F.col("a").alias(ROW), (F.element_at(number, F.col("label")) if names else F.lit(-1)).cast("int").alias("_c"))
-        return x.join(numbered, ROW, "left").withColumn("cluster", F.coalesce("_c", F.lit(-1))).drop("_c")
+        with in_folder(x.sparkSession) as folder:
+            found = folder.write(density_clusters(v, folder, eps, min_samples, "id", "v"))
+            numbered = found.join(numbers(found.select("label").distinct(), folder), "label").select(F.col("id").alias(ROW), F.col("number").alias("_c"))
+            return materialised(x.join(numbered, ROW, "left").withColumn("cluster", F.coalesce(F.col("_c").cast("int"), F.lit(-1))).drop("_c"))
 
     def auto_eps(self, x: DataFrame, k: int = 5) -> float:
         v = x.select(F.col(ROW).alias("id"), vector_to_array("features").alias("v"))
@@ -118,20 +106,20 @@ class ClusteringEngine:
     # selection -------------------------------------------------------------
     def scores(self, labelled: DataFrame) -> dict:
         """Indices over the rows that aren't noise; 0, 0, inf for fewer than two
-        clusters.  The silhouette is by Euclidean distance of all pairs up to
-        ``metrics.PAIRS_MOST`` rows, and by squared distance, which needs no
-        pairs, beyond; ``silhouette_distance`` says which."""
+        clusters.  The silhouette is the Euclidean one, of all rows or estimated
+        from ``silhouette_rows``; ``silhouette_error`` is its standard error."""
         n = labelled.count()
-        pairs = n <= metrics.PAIRS_MOST
         rows = labelled.where("cluster <> -1")
         kept = rows.select(F.col(ROW).alias("id"), "cluster", vector_to_array("features").alias("v"))
         k, m = kept.agg(F.countDistinct("cluster"), F.count("*")).first()
-        out = {"n_clusters": k, "noise_ratio": 1 - m / n if n else 0.0, "silhouette": 0.0, "calinski_harabasz": 0.0, "davies_bouldin": float("inf"), "silhouette_distance": "euclidean" if pairs else "squared"}
+        out = {"n_clusters": k, "noise_ratio": 1 - m / n if n else 0.0, "silhouette": 0.0, "calinski_harabasz": 0.0, "davies_bouldin": float("inf"), "silhouette_error": 0.0}
         if k < 2:
             return out
         by = {"row_id": "id", "vector": "v", "cluster": "cluster"}
+        value, _, error = metrics.silhouette(kept, **by, rows=self.silhouette_rows).first()
         return out | {
-            "silhouette": metrics.silhouette(kept, **by).first()[0] if pairs else metrics.squared_silhouette(rows),
+            "silhouette": value,
+            "silhouette_error": error,
             "calinski_harabasz": metrics.calinski_harabasz(kept, **by).first()[0],
             "davies_bouldin": metrics.davies_bouldin(kept, **by).first()[0],
         }
@@ -159,8 +147,8 @@ class ClusteringEngine:
         x, columns, by = self.prepared(df, columns)
         if algorithm == "auto":
             best, n = None, x.count()
-            # merging and density take pairs of rows and are tried where these are few enough
-            for name in [a for a, most in (("kmeans", n), ("hierarchical", WARD_MOST), ("gmm", n), ("dbscan", metrics.PAIRS_MOST)) if n <= most]:
+            # merging takes pairs of rows and is tried where these are few enough
+            for name in [a for a, most in (("kmeans", n), ("hierarchical", WARD_MOST), ("gmm", n), ("dbscan", n)) if n <= most]:
                 if name == "dbscan":
                     out, centres = self.dbscan(x, self.auto_eps(x, min_samples), min_samples), None
                 else:
@@ -206,6 +194,20 @@ class ClusteringEngine:
         return df.sparkSession.createDataFrame([(k, *m) for k, m in enumerate(ward_merges(points))], "step int, a int, b int, height double, size int")
 
 
+def numbers(labels: DataFrame, folder: Folder) -> DataFrame:
+    """(label, number from 0 in order of label): ranges of labels, each with the
+    count of those before it."""
+    width = int(labels.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    placed = folder.write(labels.repartitionByRange(width, "label").sortWithinPartitions("label").withColumn("_at", F.monotonically_increasing_id()))
+    part, at = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    before, seen = [], 0
+    for p, n in sorted(placed.groupBy(part.alias("p")).count().collect()):  # one row a range
+        before.append((p, seen))
+        seen += n
+    start = F.element_at(F.create_map(*[F.lit(z).cast("long") for pair in before for z in pair]), part.cast("long")) if before else F.lit(0)
+    return placed.select("label", (start + at).alias("number"))
+
+
 def ward_merges(points: np.ndarray) -> list[tuple[int, int, float, int]]:
     """Merges of Ward's linkage by the Lance-Williams update."""
     n = len(points)

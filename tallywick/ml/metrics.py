@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.lineage import materialised
+from ..plans.lineage import Folder, in_folder, materialised
 from ..plans.selection import percentiles
+from .neighbours import nearest, silhouette_sums
 
 
 def confusion(scored: DataFrame, label: str = "label", predicted: str = "predicted") -> DataFrame:
@@ -127,45 +127,27 @@ def davies_bouldin(df: DataFrame, row_id: str = "vec_id", vector: str = "embeddi
     return worst.agg(F.avg("r").alias("davies_bouldin"))
 
 
-#: The most rows for which the all-pairs operators below run.
-PAIRS_MOST = 20_000
-
-
-def _distances(df: DataFrame, row_id: str, vector: str, extra: list[str] = ()) -> DataFrame:
-    n = df.count()
-    if n > PAIRS_MOST:
-        raise ValueError(f"{n} rows: distances of all pairs are for at most {PAIRS_MOST}; sample first")
-    v = df.select(F.col(row_id).alias("id"), F.col(vector).cast("array<double>").alias("v"), *extra)
-    a = v.select(*[F.col(c).alias(f"a_{c}") for c in v.columns])
-    b = v.select(*[F.col(c).alias(f"b_{c}") for c in v.columns])
-    d = F.sqrt(F.aggregate(F.zip_with("a_v", "b_v", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, t: s + t))
-    width = max(1, min(64, n // 250))
-    return a.repartition(width).crossJoin(b).withColumn("d", d).drop("a_v", "b_v")
-
-
 def knn(df: DataFrame, k: int = 5, row_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(id, rank, d): the k nearest rows of each row, itself among them."""
-    w = Window.partitionBy("a_id").orderBy("d", "b_id")
-    return _distances(df, row_id, vector).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("a_id").alias("id"), "rank", "d")
+    """(id, rank, d): distances to the k nearest rows of each row, itself among
+    them.  The blocks that it reads stay in the shared folder."""
+    return nearest(df, Folder(df.sparkSession), k, row_id, vector)
 
 
-def knn_distance_percentile(df: DataFrame, k: int = 5, share: float = 0.9, **columns) -> DataFrame:
+def knn_distance_percentile(df: DataFrame, k: int = 5, share: float = 0.9, row_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """One row: the percentile of the distance to the k-th nearest row."""
-    (found,) = percentiles(knn(df, k, **columns).where(F.col("rank") == k), {"d": [share]})["d"]
+    with in_folder(df.sparkSession) as folder:
+        kth = nearest(df, folder, k, row_id, vector).where(F.col("rank") == k)
+        (found,) = percentiles(kth, {"d": [share]})["d"]
     return df.sparkSession.createDataFrame([(found,)], "distance double")
 
 
-def squared_silhouette(df: DataFrame, vector: str = "features", cluster: str = "cluster") -> float:
-    """The mean silhouette by squared Euclidean distance, in one pass over the
-    rows and the clusters' sums: for tables of any size."""
-    return ClusteringEvaluator(featuresCol=vector, predictionCol=cluster, metricName="silhouette", distanceMeasure="squaredEuclidean").evaluate(df)
-
-
-def silhouette(df: DataFrame, row_id: str = "vec_id", vector: str = "embedding", cluster: str = "label") -> DataFrame:
-    """One row: the mean Euclidean silhouette (a cluster of one row counts 0)."""
-    d = _distances(df, row_id, vector, [F.col(cluster).alias("c")])
-    per = d.groupBy("a_id", "a_c", "b_c").agg(F.sum("d").alias("s"), F.count("*").alias("n"))
-    own, other = F.col("a_c") == F.col("b_c"), F.col("a_c") != F.col("b_c")
-    row = per.groupBy("a_id").agg(F.max(F.when(own, F.col("n"))).alias("n"), F.max(F.when(own, F.col("s"))).alias("s"), F.min(F.when(other, F.col("s") / F.col("n"))).alias("b"))
-    value = F.when(F.col("n") == 1, 0.0).otherwise(F.try_divide(F.col("b") - F.try_divide(F.col("s"), F.col("n") - 1), F.greatest(F.try_divide(F.col("s"), F.col("n") - 1), "b")))
-    return row.agg(F.avg(F.coalesce(value, F.lit(0.0))).alias("silhouette"))
+def silhouette(df: DataFrame, row_id: str = "vec_id", vector: str = "embedding", cluster: str = "label", rows: int | None = None) -> DataFrame:
+    """One row: the mean Euclidean silhouette (a cluster of one row counts 0), of
+    how many rows and its standard error.  Of all rows, which takes every pair of
+    rows; or with ``rows`` of about so many, chosen by hash, each against all: an
+    estimate whose error is given (0 where all are taken)."""
+    with in_folder(df.sparkSession) as folder:
+        n, s, q = silhouette_sums(df, folder, row_id, vector, cluster, rows).agg(F.sum("n"), F.sum("s"), F.sum("q")).first()
+    mean = s / n if n else None
+    error = 0.0 if rows is None or not n else (max(q / n - mean * mean, 0.0) / n) ** 0.5
+    return df.sparkSession.createDataFrame([(mean, n or 0, error)], "silhouette double, rows long, error double")

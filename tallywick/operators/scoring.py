@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 from ..plans.selection import Selector, key_of, kept, nth_texts
 
+#: Rows of a range that may reach the driver; larger ones are counted again.
+PART_ROWS = 1 << 16
+
 
 def interior_edges(n: int, bins: int) -> list[float]:
     """Linear quantile edges of the ranks 1..n between the bins."""
@@ -45,7 +48,7 @@ def with_scores(df: DataFrame, wanted: list[tuple[str, str, bool]], bins: int =
     narrow = df.select(F.col(f"`{tie}`").cast("string").alias("_tie"), *[key_of(df, v).alias(keys[v]) for v in keys])
     with kept(narrow) as rows:
         n = rows.count()
-        found = Selector(rows, list(keys.values()))
+        found = Selector(rows, list(keys.values()), PART_ROWS)
         ranks, cuts = [], []
         for v in values:
             nulls = n - found.count(keys[v])
@@ -60,7 +63,7 @@ def with_scores(df: DataFrame, wanted: list[tuple[str, str, bool]], bins: int =
         at = [(v, next(places), rank - nulls) if rank >= nulls else (v, None, rank) for v, rank, nulls in cuts]
         # rows of one value are told apart by the tie
         straddling = [(keys[v], p.value if p else None, rank - p.less if p else rank, p.equal if p else n - found.count(keys[v])) for v, p, rank in at]
-        ties = nth_texts(rows, "_tie", list(keys.values()), straddling) if straddling else []
+        ties = nth_texts(rows, "_tie", list(keys.values()), straddling, PART_ROWS) if straddling else []
     for value, out, ascending in wanted:
         steps = [(p, t) for (v, p, _), t in zip(at, ties, strict=True) if v == value]
         if not steps:

@@ -121,8 +121,8 @@ class Selector:
     """Order statistics of columns of ``df``, which are longs or doubles; nulls
     and NaN don't count."""
 
-    def __init__(self, df: DataFrame, columns: list[str]):
-        self.columns = columns
+    def __init__(self, df: DataFrame, columns: list[str], gather: int | None = None):
+        self.columns, self.gather = columns, GATHER if gather is None else gather
         self.rows = df.select(*[F.col(f"`{c}`") for c in columns])
         self.double = [isinstance(f.dataType, T.DoubleType) for f in self.rows.schema.fields]
 
@@ -148,7 +148,7 @@ class Selector:
             if not 0 <= rank < n:
                 raise ValueError(f"rank {rank} of {n} values of {name}")
             spans.append(Span(c, rank, lo, hi, 0, n))
-        while open_ := sorted({(s.column, s.lo, s.hi) for s in spans if s.count > GATHER and s.lo < s.hi}):
+        while open_ := sorted({(s.column, s.lo, s.hi) for s in spans if s.count > self.gather and s.lo < s.hi}):
             counts = self._counted(open_)
             spans = [s.narrowed(counts[open_.index((s.column, s.lo, s.hi))]) if (s.column, s.lo, s.hi) in open_ else s for s in spans]
         ranges = sorted({(s.column, s.lo, s.hi) for s in spans if s.lo < s.hi})
@@ -226,9 +226,10 @@ class TextSpan:
     count: int
 
 
-def nth_texts(df: DataFrame, text: str, keys: list[str], wanted: list[tuple[str, float | int | None, int, int]]) -> list[str]:
+def nth_texts(df: DataFrame, text: str, keys: list[str], wanted: list[tuple[str, float | int | None, int, int]], gather: int | None = None) -> list[str]:
     """For each (key column, value or None, rank, rows): of the so many rows whose
     key has that value (None: is null) the text at that rank, in order of bytes."""
+    most = GATHER if gather is None else gather
     rows = df.select(F.encode(F.col(f"`{text}`").cast("string"), "utf-8").alias("_text"), *[F.col(f"`{c}`") for c in keys])
 
     def chosen(batch: pa.RecordBatch, k: int) -> pa.Array:
@@ -245,7 +246,7 @@ def nth_texts(df: DataFrame, text: str, keys: list[str], wanted: list[tuple[str,
 
     spans = [TextSpan(b"", 0, _MASK, rank, n) for _, _, rank, n in wanted]
     answers: dict[int, bytes] = {}
-    while open_ := [k for k, s in enumerate(spans) if k not in answers and s.count > GATHER]:
+    while open_ := [k for k, s in enumerate(spans) if k not in answers and s.count > most]:
         now = [spans[k] for k in open_]
 
         def count(batches, now=now, open_=open_):
@@ -275,7 +276,7 @@ def nth_texts(df: DataFrame, text: str, keys: list[str], wanted: list[tuple[str,
             spans[k] = s
     if rest := [k for k in range(len(spans)) if k not in answers]:
 
-        def gather(batches):
+        def own_texts(batches):
             for batch in batches:
                 for k in rest:
                     _, own = pieces(chosen(batch, k), spans[k])
@@ -283,7 +284,7 @@ def nth_texts(df: DataFrame, text: str, keys: list[str], wanted: list[tuple[str,
                         yield pa.RecordBatch.from_pydict({"t": np.full(len(own), k), "x": pa.array(own, pa.binary())})
 
         texts: dict[int, list[bytes]] = {k: [] for k in rest}
-        for r in rows.mapInArrow(gather, "t long, x binary").toArrow().to_pylist():
+        for r in rows.mapInArrow(own_texts, "t long, x binary").toArrow().to_pylist():
             texts[r["t"]].append(r["x"])
         answers |= {k: sorted(texts[k])[spans[k].rank] for k in rest}
     return [answers[k].decode() for k in range(len(spans))]

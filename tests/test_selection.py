@@ -54,7 +54,7 @@ def test_texts_by_rank(spark, monkeypatch):
 
 @pytest.mark.parametrize("gather", [2, 1 << 16])
 def test_scores_equal_ranks(spark, monkeypatch, gather):
-    monkeypatch.setattr(selection, "GATHER", gather)
+    monkeypatch.setattr(scoring, "PART_ROWS", gather)
     rng = np.random.default_rng(4)
     rows = [(f"c{k:04d}", int(rng.integers(4)), float(rng.normal()), None if k % 5 == 0 else float(k % 3)) for k in range(333)]
     df = spark.createDataFrame(rows, "customer_id string, a long, b double, c double").withColumn("d", F.col("b").cast("decimal(12,2)")).repartition(4)

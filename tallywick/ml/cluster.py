@@ -6,6 +6,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import vector_to_array
@@ -15,8 +16,9 @@ from pyspark.sql import functions as F
 from ..plans.lineage import Folder, in_folder, materialised
 from . import features as prep
 from . import metrics
-from .neighbours import density_clusters
+from .neighbours import density_clusters, squares
 
+#: Rows, or small clusters of rows, that are merged pairwise.
 WARD_MOST = 3_000
 ROW = "_row"
 
@@ -78,11 +80,27 @@ class ClusteringEngine:
         return best.transform(x).drop("_p"), [g.mean.toArray().tolist() for g in best.gaussians]
 
     def ward(self, x: DataFrame, k: int) -> DataFrame:
-        """Agglomerative clusters; for ``WARD_MOST`` rows at most."""
-        ids, points = self._bounded(x)
-        labels = cut_tree(ward_merges(points), len(points), k)
-        found = x.sparkSession.createDataFrame(pd.DataFrame({ROW: ids, "cluster": labels}), f"{ROW} long, cluster int")
-        return x.join(found, ROW)
+        """Agglomerative clusters.  Up to ``WARD_MOST`` rows each is merged by
+        itself; more are first gathered in as many small clusters (count, sum,
+        square sum), which Ward's distance then merges.  See :func:`gathered`."""
+        if x.count() <= WARD_MOST:
+            ids, points = self._bounded(x)
+            labels = cut_tree(ward_merges(points), len(points), k)
+            found = x.sparkSession.createDataFrame(pd.DataFrame({ROW: ids, "cluster": labels}), f"{ROW} long, cluster int")
+            return x.join(found, ROW)
+        pivots, small = gathered(x, WARD_MOST, self.seed)
+        labels = cut_tree(ward_merges(small.mean, small.n), len(small.n), k)
+        return assigned(x, pivots[small.pivot], np.array(labels, np.int32))
+
+    def ward_loss(self, x: DataFrame) -> float:
+        """The share of all square deviation that lies inside the small clusters:
+        what :meth:`ward` can't see; 0 up to ``WARD_MOST`` rows."""
+        if x.count() <= WARD_MOST:
+            return 0.0
+        _, small = gathered(x, WARD_MOST, self.seed)
+        mean = small.n @ small.mean / small.n.sum()
+        total = small.within.sum() + small.n @ ((small.mean - mean) ** 2).sum(1)
+        return float(small.within.sum() / total) if total else 0.0
 
     def _bounded(self, x: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         n = x.count()
@@ -146,9 +164,8 @@ class ClusteringEngine:
     def fit(self, df: DataFrame, columns: list[str] | None = None, algorithm: str = "auto", n_clusters: int | None = None, eps: float = 0.5, min_samples: int = 5) -> ClusteringResult:
         x, columns, by = self.prepared(df, columns)
         if algorithm == "auto":
-            best, n = None, x.count()
-            # merging takes pairs of rows and is tried where these are few enough
-            for name in [a for a, most in (("kmeans", n), ("hierarchical", WARD_MOST), ("gmm", n), ("dbscan", n)) if n <= most]:
+            best = None
+            for name in ("kmeans", "hierarchical", "gmm", "dbscan"):
                 if name == "dbscan":
                     out, centres = self.dbscan(x, self.auto_eps(x, min_samples), min_samples), None
                 else:
@@ -194,6 +211,92 @@ class ClusteringEngine:
         return df.sparkSession.createDataFrame([(k, *m) for k, m in enumerate(ward_merges(points))], "step int, a int, b int, height double, size int")
 
 
+@dataclass(frozen=True)
+class SmallClusters:
+    """In order of their first rows: pivot, rows, mean, square deviation inside."""
+
+    pivot: np.ndarray
+    n: np.ndarray
+    mean: np.ndarray
+    within: np.ndarray
+
+
+def _vectors(x: DataFrame) -> DataFrame:
+    return x.select(F.col(ROW).alias("id"), vector_to_array("features").alias("v"))
+
+
+def _points(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1)
+
+
+def _closest(points: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    found = [squares(points[i : i + 1024], pivots) for i in range(0, len(points), 1024)]
+    return np.concatenate([d.argmin(1) for d in found]), np.concatenate([d.min(1) for d in found])
+
+
+def gathered(x: DataFrame, most: int, seed: int, rounds: int = 3) -> tuple[np.ndarray, SmallClusters]:
+    """Up to ``most`` pivots and the small clusters of the rows closest to each.
+    A third of the pivots are drawn by hash; in each further round rows are drawn
+    with chances in proportion to their square distance from the pivots so far, so
+    that what lies apart gets pivots of its own.  The driver gets these and one
+    count, sum and square sum of each."""
+    rows, share = _vectors(x), most // rounds
+    uniform = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    first = rows.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(share).toArrow().to_batches()
+    pivots = np.concatenate([_points(b) for b in first])
+    for _ in range(rounds - 1):
+        sent = x.sparkSession.sparkContext.broadcast(pivots)
+
+        def apart(batches, sent=sent):
+            for batch in batches:
+                if len(batch):
+                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(_closest(_points(batch), sent.value)[1])], ["id", "v", "d"])
+
+        far = rows.mapInArrow(apart, "id long, v array<double>, d double")
+        cost = far.agg(F.sum("d")).first()[0]
+        if not cost:
+            break
+        # a draw's expected number is ``share``; its least keys are the same on every run
+        drawn = far.where(uniform * F.lit(cost) < F.col("d") * share).orderBy(F.xxhash64("id"), "id").limit(share).select("id", "v").toArrow().to_batches()
+        pivots = np.concatenate([pivots, *[_points(b) for b in drawn]])
+    pivots = np.unique(pivots, axis=0)
+    sent = x.sparkSession.sparkContext.broadcast(pivots)
+
+    def sums(batches):
+        for batch in batches:
+            if not len(batch):
+                continue
+            points = _points(batch)
+            at, d = _closest(points, sent.value)
+            order = np.argsort(at, kind="stable")
+            cut = np.flatnonzero(np.concatenate([[True], np.diff(at[order]) > 0]))
+            near = points[order] - sent.value[at[order]]  # about the pivot: small numbers
+            yield pa.RecordBatch.from_pydict({
+                "pivot": at[order][cut], "first": np.minimum.reduceat(np.asarray(batch.column(0))[order], cut), "n": np.diff(np.append(cut, len(at))),
+                "s": pa.array([r.tolist() for r in np.add.reduceat(near, cut, axis=0)], pa.list_(pa.float64())), "q": np.add.reduceat((near**2).sum(1), cut),
+            })
+
+    parts = rows.mapInArrow(sums, "pivot long, first long, n long, s array<double>, q double")
+    dims = pivots.shape[1]
+    one = parts.groupBy("pivot").agg(F.min("first").alias("first"), F.sum("n").alias("n"), F.sum("q").alias("q"), *[F.sum(F.element_at("s", k + 1)).alias(f"s{k}") for k in range(dims)]).toPandas().sort_values("first")
+    n, s = one["n"].to_numpy(float), one[[f"s{k}" for k in range(dims)]].to_numpy()
+    pivot = one["pivot"].to_numpy()
+    return pivots, SmallClusters(pivot, n, pivots[pivot] + s / n[:, None], np.maximum(one["q"].to_numpy() - (s**2).sum(1) / n, 0.0))
+
+
+def assigned(x: DataFrame, pivots: np.ndarray, labels: np.ndarray) -> DataFrame:
+    """Adds the label of each row's closest pivot."""
+    sent = x.sparkSession.sparkContext.broadcast((pivots, labels))
+
+    def run(batches):
+        for batch in batches:
+            if len(batch):
+                at = _closest(_points(batch), sent.value[0])[0]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sent.value[1][at])], [ROW, "cluster"])
+
+    return x.join(_vectors(x).mapInArrow(run, f"{ROW} long, cluster int"), ROW)
+
+
 def numbers(labels: DataFrame, folder: Folder) -> DataFrame:
     """(label, number from 0 in order of label): ranges of labels, each with the
     count of those before it."""
@@ -208,14 +311,17 @@ def numbers(labels: DataFrame, folder: Folder) -> DataFrame:
     return placed.select("label", (start + at).alias("number"))
 
 
-def ward_merges(points: np.ndarray) -> list[tuple[int, int, float, int]]:
-    """Merges of Ward's linkage by the Lance-Williams update."""
+def ward_merges(points: np.ndarray, sizes: np.ndarray | None = None) -> list[tuple[int, int, float, int]]:
+    """Merges of Ward's linkage by the Lance-Williams update; ``sizes``: how many
+    rows each point stands for."""
     n = len(points)
     if n < 2:
         return []
-    d = ((points[:, None] - points[None]) ** 2).sum(axis=2)
+    size = np.ones(n) if sizes is None else np.array(sizes, float)
+    d = np.stack([((points - p) ** 2).sum(1) for p in points])
+    d *= 2 * size[:, None] * size[None] / (size[:, None] + size[None])
     np.fill_diagonal(d, np.inf)
-    size, name, alive, out = np.ones(n), np.arange(n), np.ones(n, bool), []
+    name, alive, out = np.arange(n), np.ones(n, bool), []
     for step in range(n - 1):
         i, j = divmod(int(np.argmin(d)), n)
         i, j = min(i, j), max(i, j)

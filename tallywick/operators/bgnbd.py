@@ -1,9 +1,11 @@
 """BG/NBD and Gamma-Gamma by maximum likelihood.
 
 Spark reduces customers to counted sufficient statistics, all of which are fitted
-with a simplex search.  Up to ``FIT_ROWS`` of them come to the driver; more stay
-in Spark, each step of the search is then an aggregation over all of them, and
-only its sums reach the driver.  Every customer is scored in an Arrow function.
+by Newton steps.  Up to ``FIT_ROWS`` of them come to the driver; more stay in
+Spark.  A step needs two passes over them, each an aggregation of the losses of
+all points that it asks for (those around the current one, then those along the
+step), of which one number each reaches the driver.  Every customer is scored in
+an Arrow function.
 """
 
 from __future__ import annotations
@@ -75,6 +77,40 @@ def simplex(f, start: np.ndarray, steps: int = 2000, tolerance: float = 1e-9) ->
     return points[int(np.argmin(values))]
 
 
+#: Distance of the points from which derivatives are taken, and lengths of steps tried.
+NEAR, LENGTHS = 1e-3, (1.0, 0.5, 0.25, 0.1, 0.03, 0.01, 2.0, 4.0)
+
+
+def newton(losses, start: np.ndarray, steps: int = 25) -> np.ndarray:
+    """Minimum of a smooth loss; ``losses(points)`` gives those of many points in
+    one pass, of which at most two a step are made.  A simplex search takes over
+    where the loss has no finite derivatives."""
+    n, x = len(start), np.array(start, float)
+    unit = NEAR * np.eye(n)
+    pairs = [(i, j) for i in range(n) for j in range(i)]
+    for _ in range(steps):
+        around = [x, *(x + u for u in unit), *(x - u for u in unit), *(x + unit[i] + unit[j] for i, j in pairs), *(x - unit[i] - unit[j] for i, j in pairs)]
+        f = np.asarray(losses(around), float)
+        if not np.isfinite(f).all():
+            return simplex(lambda p: float(losses([p])[0]), start)
+        here, up, down, both, none = f[0], f[1 : n + 1], f[n + 1 : 2 * n + 1], f[2 * n + 1 : 2 * n + 1 + len(pairs)], f[2 * n + 1 + len(pairs) :]
+        slope = (up - down) / (2 * NEAR)
+        bend = np.diag((up + down - 2 * here) / NEAR**2)
+        for k, (i, j) in enumerate(pairs):
+            bend[i, j] = bend[j, i] = (both[k] + none[k] - up[i] - down[i] - up[j] - down[j] + 2 * here) / (2 * NEAR**2)
+        values, axes = np.linalg.eigh(bend)
+        step = -axes @ ((axes.T @ slope) / np.maximum(np.abs(values), 1e-6))
+        step *= min(1.0, 2.0 / max(float(np.abs(step).max()), 1e-300))
+        if np.abs(step).max() < 1e-7:
+            break
+        along = np.asarray(losses([x + t * step for t in LENGTHS]), float)
+        best = int(np.nanargmin(along))
+        if not along[best] < here - 1e-15 * abs(here):
+            break
+        x = x + LENGTHS[best] * step
+    return x
+
+
 def _params(log_params: np.ndarray) -> np.ndarray:
     return np.exp(np.clip(log_params, -12, 12))
 
@@ -104,44 +140,45 @@ def gamma_gamma_loss(log_params: np.ndarray, x, m, weight) -> float:
     return float(-(weight @ gamma_gamma_like(log_params, x, m)) / weight.sum() + _penalty(log_params))
 
 
-def _bgnbd_search(loss, most: float) -> np.ndarray:
-    """(r, alpha, a, b) for ``loss(log_params, scale)``; time is scaled to a maximum of 10."""
+def _bgnbd_search(losses, most: float) -> np.ndarray:
+    """(r, alpha, a, b) for ``losses(points, scale)``; time is scaled to a maximum of 10."""
     scale = 10.0 / max(most, 1.0)
-    best = _params(simplex(lambda p: loss(p, scale), np.zeros(4)))
+    best = _params(newton(lambda points: losses(points, scale), np.zeros(4)))
     best[1] /= scale
     return best
 
 
-def _gamma_gamma_search(loss, mean: float) -> np.ndarray:
-    best = _params(simplex(lambda p: loss(p, mean), np.array([1.0, 1.0, 0.5])))
+def _gamma_gamma_search(losses, mean: float) -> np.ndarray:
+    best = _params(newton(lambda points: losses(points, mean), np.array([1.0, 1.0, 0.5])))
     best[2] *= mean
     return best
 
 
 def fit_bgnbd(x, tx, t, weight) -> np.ndarray:
     """(r, alpha, a, b); time is scaled to a maximum of 10 while fitting."""
-    return _bgnbd_search(lambda p, scale: bgnbd_loss(p, x, tx * scale, t * scale, weight), float(np.max(t)))
+    return _bgnbd_search(lambda points, scale: [bgnbd_loss(p, x, tx * scale, t * scale, weight) for p in points], float(np.max(t)))
 
 
 def fit_gamma_gamma(x, m, weight=None) -> np.ndarray:
     weight = np.ones(len(x)) if weight is None else weight
-    return _gamma_gamma_search(lambda p, scale: gamma_gamma_loss(p, x, m / scale, weight), float(weight @ m / weight.sum()))
+    return _gamma_gamma_search(lambda points, scale: [gamma_gamma_loss(p, x, m / scale, weight) for p in points], float(weight @ m / weight.sum()))
 
 
-def _mean_like(stats: DataFrame, like) -> float:
-    """Mean of ``like(columns)`` over the groups of ``stats``, each as often as
-    its last column says; a row of sums for each partition reaches the driver."""
+def _losses(stats: DataFrame, like, points: list[np.ndarray]) -> list[float]:
+    """The loss of every point, from one pass over the groups of ``stats``, each as
+    often as its last column says."""
 
     def sums(batches):
-        total = n = 0.0
+        total, n = np.zeros(len(points)), 0.0
         for b in batches:
             *columns, weight = (c.to_numpy(zero_copy_only=False).astype(float) for c in b.columns)
             if len(weight):
-                total, n = total + float(weight @ like(*columns)), n + float(weight.sum())
-        yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([n])], ["total", "n"])
+                n += float(weight.sum())
+                total += [float(weight @ like(p, *columns)) for p in points]
+        yield pa.RecordBatch.from_pydict({"k": np.arange(len(points)), "total": total, "n": np.full(len(points), n)})
 
-    parts = stats.mapInArrow(sums, "total double, n double").collect()
-    return sum(sorted(r.total for r in parts)) / sum(r.n for r in parts)
+    found = stats.mapInArrow(sums, "k long, total double, n double").groupBy("k").agg(F.sum("total"), F.sum("n")).collect()
+    return [-t / n + _penalty(points[k]) for k, t, n in sorted(map(tuple, found))]
 
 
 def expected_purchases(params, x, tx, t, ahead) -> np.ndarray:
@@ -188,7 +225,7 @@ def fit_and_predict(inputs: DataFrame, horizon_months: int, rate: float) -> Data
     else:
         stats = materialised(stats)
         most = float(stats.agg(F.max("T")).first()[0])
-        bg = _bgnbd_search(lambda p, scale: -_mean_like(stats, lambda x, tx, t: bgnbd_like(p, x, tx * scale, t * scale)) + _penalty(p), most)
+        bg = _bgnbd_search(lambda points, scale: _losses(stats, lambda p, x, tx, t: bgnbd_like(p, x, tx * scale, t * scale), points), most)
     repeat = inputs.where("frequency > 0 and monetary_value > 0").groupBy("frequency", "monetary_value").count()
     near = _few(repeat)
     if near is not None:
@@ -198,7 +235,7 @@ def fit_and_predict(inputs: DataFrame, horizon_months: int, rate: float) -> Data
     else:
         repeat = materialised(repeat)
         mean = float(repeat.agg(F.sum(F.col("monetary_value") * F.col("count")) / F.sum("count")).first()[0])
-        gg = _gamma_gamma_search(lambda p, scale: -_mean_like(repeat, lambda x, m: gamma_gamma_like(p, x, m / scale)) + _penalty(p), mean)
+        gg = _gamma_gamma_search(lambda points, scale: _losses(repeat, lambda p, x, m: gamma_gamma_like(p, x, m / scale), points), mean)
     if not (np.isfinite(bg).all() and np.isfinite(gg).all()):
         raise ValueError("the fit did not converge")
 

@@ -131,11 +131,30 @@ class Units:
     def forget(self) -> None:
         self.index: dict[str, int] = {}
         self.chars = 0
+        self.met = np.zeros(0, np.int64)  # in how many blocks
         self.text: list[str] = []  # a unit's groups as the digest has them
         self.stats = np.zeros((0, 5), np.int64)  # whether the bytes agree, n_a, n_b, n_groups, n_links
         self.first = np.zeros(1, np.int64)  # where a unit's pairs begin
         self.pair, self.weight = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def shrink(self) -> None:
+        """Forgets the units that have been met once; all of them if that frees
+        less than half."""
+        keep = np.flatnonzero(self.met > 1)
+        if len(keep) > MEMO_UNITS // 2:
+            self.forget()
+            return
+        place = np.full(len(self.text), -1, np.int64)
+        place[keep] = np.arange(len(keep))
+        lens = np.diff(self.first)[keep]
+        at = ranges(self.first[keep], lens)
+        self.index = {u: k for u, i in self.index.items() if (k := int(place[i])) >= 0}
+        self.chars = sum(map(len, self.index))
+        self.text = [self.text[i] for i in keep.tolist()]
+        self.stats, self.pair, self.weight = self.stats[keep], self.pair[at], self.weight[at]
+        self.first = np.concatenate([[0], np.cumsum(lens)])
+        self.met = np.ones(len(keep), np.int64)  # to be met again before the next time
+
     def learn(self, new: list[str]) -> None:
         a_ids = [e.ids for e in self.a.encode_batch_fast([" " + u for u in new], add_special_tokens=False)]
         b_ids = [x or [self.b_space] for x in self.b.encode(new, num_threads=1)]
@@ -173,6 +192,7 @@ class Units:
         self.chars += sum(map(len, new))
         self.text += text
         self.stats = np.concatenate([self.stats, stats])
+        self.met = np.concatenate([self.met, np.zeros(len(new), np.int64)])
         self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(per)])
         self.pair = np.concatenate([self.pair, keys & ((1 << 40) - 1)])
         self.weight = np.concatenate([self.weight, weights])
@@ -203,7 +223,7 @@ class Units:
         """The documents' columns (n_a, n_b, n_groups, n_links, digest) and the
         links (stripe, document, A id in its stripe, B id, weight) in order."""
         if len(self.index) > MEMO_UNITS or self.chars > MEMO_CHARS:
-            self.forget()
+            self.shrink()
         whose, which = [], []
         digest = [hashlib.sha256() if t else None for t in texts]
         begun = [False] * len(texts)
@@ -221,6 +241,7 @@ class Units:
                 whose.append(np.full(len(at), k, np.int64))
                 which.append(np.array(at, np.int64))
         d, u = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (whose, which))
+        self.met[np.unique(u)] += 1
         ends = np.searchsorted(d, np.arange(len(texts) + 1))
         total = np.concatenate([np.zeros((1, 5), np.int64), np.cumsum(self.stats[u], axis=0)])
         sums = total[ends[1:]] - total[ends[:-1]]

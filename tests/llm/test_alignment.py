@@ -143,3 +143,18 @@ def test_null_and_repeated_ids(spark, sides):
 def test_empty_tables(spark):
     assert alignment.align(documents(spark, [])).collect() == []
     assert got(alignment.align(documents(spark, [None, ""]))) == {i: (0, 0, 0, 0, 0, 0, "") for i in range(2)}
+
+
+def test_a_task_forgets_units_and_learns_them_again(sides, monkeypatch):
+    rng = np.random.default_rng(9)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.4, 40) % 500) for _ in range(60)]
+    plain = alignment.Units(alignment.A_FILE, alignment.B_FILE)
+    want = [plain.block(texts[k : k + 3]) for k in range(0, 60, 3)]
+    monkeypatch.setattr(alignment, "MEMO_UNITS", 60)
+    small = alignment.Units(alignment.A_FILE, alignment.B_FILE)
+    sizes = []
+    for k, (columns, found) in zip(range(0, 60, 3), want, strict=True):
+        got, links = small.block(texts[k : k + 3])
+        assert all((np.asarray(a) == np.asarray(b)).all() for a, b in zip([*got, *links], [*columns, *found], strict=True))
+        sizes.append(len(small.index))
+    assert min(b - a for a, b in zip(sizes, sizes[1:])) < 0 and max(sizes) < len(plain.index)

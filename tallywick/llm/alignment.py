@@ -47,7 +47,7 @@ A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 STRIPE = 256
 BLOCK_BYTES = 1 << 20
 SEGMENT_CHARS = 1 << 20
-PIECE_PAIRS = 1 << 22
+PIECE_PAIRS = 1 << 20
 #: Distinct units, and characters of them, that a task remembers.
 MEMO_UNITS, MEMO_CHARS = 300_000, 1 << 24
 #: Pairs that are expanded at a time.

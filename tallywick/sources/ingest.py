@@ -12,6 +12,7 @@ from pyspark.errors import AnalysisException
 
 from ..contract import AMOUNT, CUSTOMER, DATE, IngestError
 from ..functions.exprs import nulled, parsed_amount, parsed_timestamp, stripped
+from .split_csv import read_csv
 
 #: Column names of known exports.
 PRESETS = {
@@ -137,9 +138,8 @@ def from_frame(raw: DataFrame, preset: str | None = None, mapping: dict[str, str
 
 def load_orders(spark: SparkSession, path: str, preset: str | None = None, mapping: dict[str, str] | None = None, drop_nonpositive: bool = True, reader_options: dict | None = None, day_first: bool = False) -> IngestResult:
     """A CSV file or folder as text columns, brought under the contract."""
-    options = {"header": True, "mode": "PERMISSIVE", "quote": '"', "escape": '"', "multiLine": True} | (reader_options or {})
     try:
-        raw = spark.read.options(**options).csv(path)
+        raw = read_csv(spark, path, reader_options)
     except AnalysisException as problem:
         if "PATH_NOT_FOUND" in str(problem):
             raise FileNotFoundError(2, "no such file", path) from problem

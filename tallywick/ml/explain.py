@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -12,7 +11,8 @@ from pyspark.ml.classification import GBTClassificationModel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..plans.lineage import materialised, shared_dir
+from ..plans.lineage import in_folder, materialised
+from ..plans.places import ranked, rotated
 from . import features as prep
 
 Scorer = Callable[[DataFrame], DataFrame]  # adds ``score`` to rows with the feature columns
@@ -54,9 +54,10 @@ class Explanation:
 
     def beeswarm(self) -> DataFrame:
         """values with their rank within the feature and the value scaled to 0..1."""
-        w = Window.partitionBy("feature")
-        spread = F.try_divide(F.col("value") - F.min("value").over(w), F.max("value").over(w) - F.min("value").over(w))
-        return self.values.select("*", F.row_number().over(w.orderBy("shap_value", "row_id")).alias("rank"), F.coalesce(spread, F.lit(0.5)).alias("scaled"))
+        spans = self.values.groupBy("feature").agg(F.min("value").alias("_low"), F.max("value").alias("_high"))
+        placed = ranked(self.values, "feature", ["shap_value", "row_id"])
+        scaled = F.try_divide(F.col("value") - F.col("_low"), F.col("_high") - F.col("_low"))
+        return placed.join(F.broadcast(spans), "feature").select(*placed.columns, F.coalesce(scaled, F.lit(0.5)).alias("scaled"))
 
     def dependence(self, feature: str) -> tuple[DataFrame, str | None]:
         """(value, shap_value) of one feature and the other feature whose values
@@ -99,20 +100,27 @@ def explain_linear(df: DataFrame, coefficients: dict[str, float], intercept: flo
     return Explanation(_long(rows, features, {f: F.lit(coefficients[f]) * (F.col(f) - F.lit(means[f])) for f in features}), float(base), features, link)
 
 
-def explain_permutation(df: DataFrame, score: Scorer, features: list[str], most: int = 1000, seed: int = 42) -> Explanation:
+def explain_permutation(df: DataFrame, score: Scorer, features: list[str], most: int | None = 1000, seed: int = 42) -> Explanation:
     """Change of the score when a feature's value is exchanged with that of
-    another row (a seeded rotation of a hash order)."""
+    another row (a seeded rotation of a hash order); without ``most`` of all rows.
+    Rows as they are and with each exchange are scored in one pass, so the scorer
+    has to keep columns that it doesn't know.  No rows: no values, base 0."""
     rows = sampled(df, features, most, seed)
-    n = rows.count()
-    scored = materialised(score(rows).select("row_id", *features, F.col("score").alias("_base")))
-    base = scored.agg(F.avg("_base")).first()[0]
-    out = scored
-    for k, f in enumerate(features):
-        place = Window.orderBy(F.xxhash64("row_id", F.lit(seed + k)), "row_id")
-        order = rows.select("row_id", F.col(f).alias("_v"), F.row_number().over(place).alias("_p"))
-        given = order.select((F.col("_p") % n + 1).alias("_p"), F.col("_v").alias("_new"))
-        swapped = rows.join(order.join(given, "_p").select("row_id", "_new"), "row_id").withColumn(f, F.col("_new")).drop("_new")
-        out = out.join(score(swapped).select("row_id", F.col("score").alias(f"_after_{k}")), "row_id")
+    given = rotated(rows, "row_id", features, [seed + k for k in range(len(features))], rows.count())
+    kinds = dict(rows.dtypes)
+    swapped = [F.when(F.col("k") == k, F.col("given").cast(kinds[f])).otherwise(F.col(f"`{f}`")).alias(f) for k, f in enumerate(features)]
+    others = [c for c in rows.columns if c not in features]
+    variants = rows.withColumn("k", F.lit(-1)).unionByName(rows.join(given, "row_id").select(*[F.col(f"`{c}`") for c in others], *swapped, "k"))
+    scored = score(variants.withColumnRenamed("k", "_variant")).select("row_id", "_variant", *[F.col(f"`{f}`") for f in features], "score")
+    own = F.col("_variant") == -1
+    out = materialised(
+        scored.groupBy("row_id").agg(
+            *[F.first(F.when(own, F.col(f"`{f}`")), ignorenulls=True).alias(f) for f in features],
+            F.max(F.when(own, F.col("score"))).alias("_base"),
+            *[F.max(F.when(F.col("_variant") == k, F.col("score"))).alias(f"_after_{k}") for k in range(len(features))],
+        )
+    )
+    base = out.agg(F.avg("_base")).first()[0]
     effects = {f: F.col("_base") - F.col(f"_after_{k}") for k, f in enumerate(features)}
     return Explanation(_long(out, features, effects), float(base or 0.0), features)
 
@@ -130,12 +138,13 @@ def leaves_of(model) -> list[Leaf]:
     """The leaves of a forest or of boosted trees, from the table of nodes that
     the model saves; values are what they add to the score (forest: probability)
     or to its log odds (boosted)."""
-    path = f"{shared_dir(SparkSession.getActiveSession())}/model-{uuid.uuid4().hex}"
-    model.write().save(path)
     boosted = isinstance(model, GBTClassificationModel)
     trees: dict[int, dict] = {}
-    for r in SparkSession.getActiveSession().read.parquet(f"{path}/data").collect():  # the model's nodes
-        trees.setdefault(r.treeID, {})[r.nodeData.id] = r.nodeData
+    with in_folder(SparkSession.getActiveSession()) as folder:
+        path = f"{folder.path}/model"
+        model.write().save(path)
+        for r in SparkSession.getActiveSession().read.parquet(f"{path}/data").collect():  # the model's nodes
+            trees.setdefault(r.treeID, {})[r.nodeData.id] = r.nodeData
     weights = list(model.treeWeights)
     out: list[Leaf] = []
 
@@ -203,7 +212,7 @@ def explain_trees(model, df: DataFrame, features: list[str], most: int | None =
     return Explanation(_long(both.mapInPandas(run, schema), features, {f: F.col(f"`_e_{f}`") for f in features}), float(base), features, "logit" if isinstance(inner, GBTClassificationModel) else "identity")
 
 
-def explain_model(model, df: DataFrame, features: list[str], most: int = 1000, seed: int = 42) -> Explanation:
+def explain_model(model, df: DataFrame, features: list[str], most: int | None = 1000, seed: int = 42) -> Explanation:
     """Linear models and trees exactly, anything else with ``predict`` by permutation."""
     inner = getattr(getattr(model, "model", None), "model", None)
     if hasattr(inner, "coefficients"):

@@ -396,12 +396,34 @@ def shap_importance(spark, sf_dir):
     return _linear(spark, sf_dir).importance.select("feature", round_even(F.col("importance"), 4).alias("importance"), round_even(F.col("std"), 4).alias("std"))
 
 
-def shap_permutation(spark, sf_dir):
+def _permuted(spark, sf_dir):
     from ..ml.explain import explain_permutation
 
-    base = _base(spark, sf_dir).select("frequency", "avg_order_value")
-    score = lambda x: x.withColumn("score", F.lit(1.0) + 0.25 * F.col("frequency") - 0.5 * F.col("avg_order_value"))
-    return explain_permutation(base, score, ["frequency", "avg_order_value"], most=1000).values
+    base = _base(spark, sf_dir).select("frequency", round_even(F.col("avg_order_value"), 2).alias("avg_order_value"))
+    score = lambda x: x.withColumn("score", F.lit(1.0) + LINEAR["frequency"] * F.col("frequency") + LINEAR["avg_order_value"] * F.col("avg_order_value"))
+    return explain_permutation(base, score, list(LINEAR), most=None)
+
+
+def shap_permutation(spark, sf_dir):
+    return _permuted(spark, sf_dir).values
+
+
+def permutation_balance(spark, sf_dir):
+    """The given values of a feature are its values in another order: their sum and
+    sum of squares are those of the column, and a linear model's changes cancel."""
+    rate = F.when(F.col("feature") == "frequency", LINEAR["frequency"]).otherwise(LINEAR["avg_order_value"])
+    given = (F.col("value") - F.col("shap_value") / rate).cast("decimal(15,2)")
+    own = F.col("value").cast("decimal(15,2)")
+    return _permuted(spark, sf_dir).values.groupBy("feature").agg(
+        F.count("*").alias("n"),
+        F.sum(given).cast("double").alias("given_sum"),
+        F.sum(given * given).cast("double").alias("given_squares"),
+        (F.sum(own) - F.sum(given)).cast("double").alias("change"),
+    )
+
+
+def beeswarm_ranks(spark, sf_dir):
+    return _linear(spark, sf_dir).beeswarm().select("feature", "rank", round_even(F.col("shap_value"), 4).alias("shap_value"))
 
 
 def queries() -> dict:
@@ -472,6 +494,8 @@ def queries() -> dict:
         "shap_linear": shap_linear,
         "shap_importance": shap_importance,
         "shap_permutation": shap_permutation,
+        "permutation_balance": permutation_balance,
+        "beeswarm_ranks": beeswarm_ranks,
     }
 
 

@@ -144,4 +144,7 @@ SQL = {
     "risk_tiers": f"WITH {SCORED} SELECT CASE WHEN score < 0.3 THEN 'Low' WHEN score < 0.7 THEN 'Medium' ELSE 'High' END AS tier, count(*) AS customers FROM s GROUP BY 1",
     "shap_linear": f"WITH {EFFECTS} SELECT feature, count(*) AS n, {r('max(s)', 4)} AS most, {r('min(s)', 4)} AS least FROM l GROUP BY feature",
     "shap_importance": f"WITH {EFFECTS} SELECT feature, {r('avg(abs(s))', 4)} AS importance, {r('stddev_pop(s)', 4)} AS std FROM l GROUP BY feature",
+    "permutation_balance": f"""WITH {EFFECTS}, c AS (SELECT 'frequency' AS feature, CAST(f AS DECIMAL(15,2)) AS x FROM v UNION ALL SELECT 'avg_order_value', CAST(a AS DECIMAL(15,2)) FROM v)
+        SELECT feature, count(*) AS n, CAST(sum(x) AS DOUBLE) AS given_sum, CAST(sum(x * x) AS DOUBLE) AS given_squares, 0.0::DOUBLE AS change FROM c GROUP BY feature""",
+    "beeswarm_ranks": f"WITH {EFFECTS} SELECT feature, row_number() OVER (PARTITION BY feature ORDER BY s) AS rank, {r('s', 4)} AS shap_value FROM l",
 }

@@ -8,12 +8,13 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.ml.classification import GBTClassificationModel
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.lineage import in_folder, materialised
+from ..plans.lineage import materialised
 from ..plans.places import ranked, rotated
 from . import features as prep
+from .nested import saved_trees
 
 Scorer = Callable[[DataFrame], DataFrame]  # adds ``score`` to rows with the feature columns
 
@@ -139,12 +140,6 @@ def leaves_of(model) -> list[Leaf]:
     the model saves; values are what they add to the score (forest: probability)
     or to its log odds (boosted)."""
     boosted = isinstance(model, GBTClassificationModel)
-    trees: dict[int, dict] = {}
-    with in_folder(SparkSession.getActiveSession()) as folder:
-        path = f"{folder.path}/model"
-        model.write().save(path)
-        for r in SparkSession.getActiveSession().read.parquet(f"{path}/data").collect():  # the model's nodes
-            trees.setdefault(r.treeID, {})[r.nodeData.id] = r.nodeData
     weights = list(model.treeWeights)
     out: list[Leaf] = []
 
@@ -161,7 +156,7 @@ def leaves_of(model) -> list[Leaf]:
             a, b, share = bounds.get(f, (-float("inf"), float("inf"), 1.0))
             walk(nodes, child, bounds | {f: (max(a, low), min(b, high), share * cover / max(sum(covers), 1e-300))}, weight)
 
-    for k, nodes in sorted(trees.items()):
+    for k, nodes in enumerate(saved_trees(model)):
         walk(nodes, 0, {}, weights[k])
     return out
 

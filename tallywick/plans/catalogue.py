@@ -374,7 +374,7 @@ def _fit(kind, **options):
 def grid_search(spark, sf_dir):
     from ..ml.churn import ChurnPredictor
 
-    _, found = ChurnPredictor(folds=2).grid_search(_customers(spark, sf_dir), "churned", CHURN_FEATURES, small=True)
+    _, found = ChurnPredictor().grid_search(_customers(spark, sf_dir), "churned", CHURN_FEATURES, small=True)
     return spark.createDataFrame([(p["numTrees"], p["maxDepth"], float(a)) for p, a in found], "trees int, depth int, auc double")
 
 

@@ -337,6 +337,13 @@ def _clusters(algorithm, **options):
     return query
 
 
+def dbscan_clusters(spark, sf_dir):
+    """Rows, density clusters and noise where the clusters' radius is about the
+    distance of a fifth neighbour."""
+    labelled = _clusters("dbscan", eps=9.3, min_samples=5)(spark, sf_dir)
+    return labelled.agg(F.count("*").alias("n"), F.countDistinct(F.when(F.col("cluster") >= 0, F.col("cluster"))).alias("clusters"), F.count_if(F.col("cluster") < 0).alias("noise"))
+
+
 def pca_2d(spark, sf_dir):
     from ..ml.cluster import ClusteringEngine
 
@@ -422,6 +429,20 @@ def permutation_balance(spark, sf_dir):
     )
 
 
+def tree_contributions(spark, sf_dir):
+    """Rows explained by the forest's exact contributions, and those whose
+    contributions and base value don't add up to the forest's score."""
+    from ..ml.churn import ChurnPredictor
+    from ..ml.explain import explain_trees
+
+    df = _customers(spark, sf_dir)
+    model = ChurnPredictor(trees=20).train(df, "churned", CHURN_FEATURES, kind="rf")
+    got = explain_trees(model, df, CHURN_FEATURES, most=None)
+    sums = got.values.groupBy("row_id").agg(F.sum("shap_value").alias("s"), *[F.max(F.when(F.col("feature") == f, F.col("value"))).alias(f) for f in CHURN_FEATURES])
+    scored = model.predict(sums)
+    return scored.agg(F.count("*").alias("n"), F.count_if(F.abs(F.col("s") + got.base_value - F.col("score")) > 1e-9).alias("wrong"))
+
+
 def beeswarm_ranks(spark, sf_dir):
     return _linear(spark, sf_dir).beeswarm().select("feature", "rank", round_even(F.col("shap_value"), 4).alias("shap_value"))
 
@@ -483,6 +504,7 @@ def queries() -> dict:
         "sample_orders": sample_orders,
         "kmeans_fit": _clusters("kmeans", n_clusters=5),
         "gmm_fit": _clusters("gmm", n_clusters=5),
+        "dbscan_clusters": dbscan_clusters,
         "dbscan_fit": _clusters("dbscan", eps=2.0, min_samples=5),
         "ward_fit": _clusters("hierarchical", n_clusters=5),
         "pca_2d": pca_2d,
@@ -496,6 +518,7 @@ def queries() -> dict:
         "shap_permutation": shap_permutation,
         "permutation_balance": permutation_balance,
         "beeswarm_ranks": beeswarm_ranks,
+        "tree_contributions": tree_contributions,
     }
 
 

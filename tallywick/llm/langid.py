@@ -4,10 +4,12 @@ A text is the average of embeddings of its hashed subwords (2- and 4-byte
 windows of the lower-cased bytes, within the text), followed by a linear softmax;
 both are trained by stochastic gradient descent in numpy on a bounded sample,
 ``PER_LANGUAGE`` rows of least id hash for each language (fewer where there are
-so many languages that all would have over ``TRAIN_MOST`` rows; no language is
-left out).  A row goes to training as the shares of its distinct subwords, 2**15
-at most however long the text.  The same rows give the same model, in whatever
-order and partitions they come.  A temperature is
+so many languages that all would have over ``TRAIN_MOST`` rows, or where the rows
+would have over ``TRAIN_BYTES``, shared evenly by the languages; each language has
+a row at least, and wholly equal rows count once).  A row goes to training as the
+shares of its distinct subwords, 2**15 at most however long the text, so training
+holds ``TRAIN_BYTES`` and a row of each language at most.  The same rows give the
+same model, in whatever order and partitions they come.  A temperature is
 fitted on a part of the sample kept out of training, and with it the score below
 which a prediction counts as rejected (calibrated so that at most ``REJECT`` of
 right predictions are).
@@ -32,6 +34,8 @@ from .kernels import lower, slices, utf8, window_hashes
 BITS, WIDTH = 15, 16
 #: Rows of a language, and of all languages, to learn from; a hash bound lets this many times as many pass before they are ranked.
 PER_LANGUAGE, TRAIN_MOST, CUT_TIMES = 800, 204_800, 3
+#: Bytes of subwords and shares that go to training (8 for each distinct subword, of which a text has 2 for a byte at most).
+TRAIN_BYTES = 256 << 20
 EPOCHS, BATCH, RATE = 6, 32, 2.0
 REJECT = 0.005
 UNKNOWN = "und"
@@ -118,38 +122,57 @@ def fit(texts: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, languages: li
     return model
 
 
-def train(docs: DataFrame, keep: Column, per_language: int = PER_LANGUAGE) -> Model | None:
-    """A model from rows of ``docs`` with a lang for which ``keep`` (over doc_id)
-    is true: at most ``per_language`` rows of a language and ``TRAIN_MOST`` in
-    all, which go to one training task."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("lang").cast("string").alias("lang"))
-    known = rows.where(F.col("lang").isNotNull() & F.coalesce(keep, F.lit(False)))
-    dice = F.xxhash64("doc_id")
+KEY = ["d0", "d1", "d2"]
+
+
+def sampled(known: DataFrame, per_language: int = PER_LANGUAGE, train_bytes: int = TRAIN_BYTES) -> tuple[DataFrame, list[str]]:
+    """(``KEY``, lang and text of the rows to learn from, all languages).  Rows are
+    ranked by key and size alone; a text moves only once it is chosen."""
+    keyed = known.select(F.xxhash64("doc_id").alias("d0"), F.col("doc_id").alias("d1"), F.xxhash64("text").alias("d2"), "lang", "text")
     # one row for each language
-    seen = known.groupBy("lang").agg(F.count(F.lit(1)).alias("count"), F.min(dice).alias("least")).collect()
+    seen = keyed.groupBy("lang").agg(F.count(F.lit(1)).alias("count"), F.min("d0").alias("least")).collect()
     languages = sorted(r.lang for r in seen)
     if not languages:
-        return None
+        return keyed.limit(0), languages
     each = max(1, min(per_language, TRAIN_MOST // len(languages)))
     # a language's rows of small id hash, several times as many as are ranked; its least hash stays even if all its rows share one id
     bounds = F.create_map(*[F.lit(x) for r in seen for x in (r.lang, max(r.least, _hash_bound(CUT_TIMES * each / r["count"])))])
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(dice, "doc_id", F.xxhash64("text")))
-    sample = known.where(dice <= bounds[F.col("lang")]).withColumn("_rank", rank).where(F.col("_rank") <= each)
+    size = 8 * F.least(F.lit(1 << BITS), 2 * F.octet_length("text"))
+    near = keyed.where(F.col("d0") <= bounds[F.col("lang")])
+    ranked = near.groupBy("lang", *KEY).agg(F.max(size).alias("size"))
+    before = Window.partitionBy("lang").orderBy(*KEY)
+    held = F.coalesce(F.sum("size").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    chosen = ranked.withColumn("rank", F.row_number().over(before)).withColumn("held", held).where((F.col("rank") <= each) & (F.col("held") < max(1, train_bytes // len(languages))))
+    # one row for each language again: its last key
+    last = chosen.groupBy("lang").agg(F.max(F.struct(*KEY)).alias("key")).collect()
+    least = lambda k: F.create_map(*[x for r in last for x in (F.lit(r.lang), F.lit(r.key[k]))])[F.col("lang")]
+    upto = F.struct(*KEY) <= F.struct(*[least(k).alias(c) for k, c in enumerate(KEY)])
+    return near.where(upto).dropDuplicates(["lang", *KEY]), languages
+
+
+def train(docs: DataFrame, keep: Column, per_language: int = PER_LANGUAGE, train_bytes: int = TRAIN_BYTES) -> Model | None:
+    """A model from rows of ``docs`` with a lang for which ``keep`` (over doc_id)
+    is true: at most ``per_language`` rows of a language, ``TRAIN_MOST`` rows and
+    about ``train_bytes`` in all, which go to one training task."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("lang").cast("string").alias("lang"))
+    sample, languages = sampled(rows.where(F.col("lang").isNotNull() & F.coalesce(keep, F.lit(False))), per_language, train_bytes)
+    if not languages:
+        return None
     number = {g: k for k, g in enumerate(languages)}
 
     def shares(batches):
         for whole in batches:
             for part in slices(whole, "text"):
-                bucket, first = subwords(*utf8(part.column(2)))
+                bucket, first = subwords(*utf8(part.column("text")))
                 out = []
                 for k in range(len(part)):
                     b, n = np.unique(bucket[first[k] : first[k + 1]], return_counts=True)
                     out.append((b.astype(np.int32).tobytes(), n.astype(np.int32).tobytes()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([x for x, _ in out], pa.binary()), pa.array([x for _, x in out], pa.binary())], ["lang", "rank", "buckets", "counts"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("lang", *KEY)), pa.array([x for x, _ in out], pa.binary()), pa.array([x for _, x in out], pa.binary())], ["lang", *KEY, "buckets", "counts"])
 
     def learn(table: pa.Table) -> pa.Table:
         texts, y = [], []
-        table = table.sort_by([("lang", "ascending"), ("rank", "ascending")])
+        table = table.sort_by([(c, "ascending") for c in ("lang", *KEY)])
         for lang, b, n in zip(table.column("lang").to_pylist(), table.column("buckets").to_pylist(), table.column("counts").to_pylist(), strict=True):
             if b:
                 n = np.frombuffer(n, np.int32)
@@ -160,7 +183,7 @@ def train(docs: DataFrame, keep: Column, per_language: int = PER_LANGUAGE) -> Mo
         m = fit(texts, np.array(y), languages)
         return pa.table({"table": [m.table.tobytes()], "bias": [m.bias.tobytes()], "temperature": [float(m.temperature)], "least": [m.least]})
 
-    sample = sample.select("lang", F.col("_rank").cast("int").alias("rank"), "text").mapInArrow(shares, "lang string, rank int, buckets binary, counts binary")
+    sample = sample.mapInArrow(shares, "lang string, d0 long, d1 long, d2 long, buckets binary, counts binary")
     got = sample.groupBy(F.lit(0).alias("one")).applyInArrow(lambda t: learn(t), "table binary, bias binary, temperature double, least double").first()
     if got is None:
         return None

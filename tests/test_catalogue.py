@@ -8,7 +8,7 @@ from tallywick.plans import catalogue
 
 SF_DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
-SOME = ["cleaned_orders", "drop_reasons", "recency_floor", "score_q4", "segment_summary", "segment_advice", "cohort_long", "clv_heuristic", "customer_lists", "quality_summary", "median_impute", "davies_bouldin", "roc_auc", "permutation_balance", "beeswarm_ranks", "dbscan_clusters", "tree_contributions"]
+SOME = ["cleaned_orders", "drop_reasons", "recency_floor", "score_q4", "segment_summary", "segment_advice", "cohort_long", "clv_heuristic", "customer_lists", "quality_summary", "median_impute", "davies_bouldin", "roc_auc", "permutation_balance", "beeswarm_ranks", "dbscan_clusters", "tree_contributions", "quality_findings", "clv_repeat_buyers", "pca_axes", "shap_summary", "shap_waterfall"]
 
 
 @pytest.fixture(scope="module")

@@ -161,28 +161,53 @@ def leaves_of(model) -> list[Leaf]:
     return out
 
 
-def leaf_effects(leaves: list[Leaf], x: np.ndarray) -> np.ndarray:
-    """(rows, features) Shapley values of the sum of the leaves, where a feature
-    that isn't known takes a branch with its share of training rows.
+def pattern_effects(leaf: Leaf, kept: np.ndarray) -> np.ndarray:
+    """(rows, features on the path) Shapley values of a leaf for rows that keep
+    the bounds marked in ``kept`` (features on the path, rows).
 
     Of a leaf with d features on its path, feature i gets value * (o_i - z_i)
     times the sum over sets S of the others of |S|! (d - |S| - 1)! / d! times o_j
     inside and z_j outside S (o: the row keeps the bounds, z: share); the sums by
     |S| are the coefficients of the product of (z_j + o_j t)."""
-    out = np.zeros_like(x)
+    shares = [share for *_, share in leaf.bounds.values()]
+    d, n = kept.shape
+    parts = np.array([math.factorial(k) * math.factorial(d - k - 1) / math.factorial(d) for k in range(d)])
+    out = np.zeros((n, d))
+    for i in range(d):
+        sums = np.zeros((d, n))
+        sums[0] = 1.0
+        for j in range(d):
+            if j != i:
+                sums[1:] = sums[1:] * shares[j] + sums[:-1] * kept[j]
+                sums[0] *= shares[j]
+        out[:, i] = leaf.value * (kept[i] - shares[i]) * (parts @ sums)
+    return out
+
+
+#: Features on a path up to which a leaf's values are tabled for all patterns of kept bounds.
+TABLED = 10
+
+
+def leaf_effects(leaves: list[Leaf], x: np.ndarray) -> np.ndarray:
+    """(rows, features) Shapley values of the sum of the leaves, where a feature
+    that isn't known takes a branch with its share of training rows.  A leaf's
+    values depend on which of its bounds a row keeps alone, so they are worked
+    out once for each such pattern and looked up for the rows."""
+    columns = np.ascontiguousarray(x.T)
+    out = np.zeros_like(columns)
     for leaf in leaves:
         d = len(leaf.bounds)
-        kept = {f: ((x[:, f] > a) & (x[:, f] <= b)).astype(float) for f, (a, b, _) in leaf.bounds.items()}
-        for i in leaf.bounds:
-            sums = np.zeros((d, len(x)))
-            sums[0] = 1.0
-            for j, (_, _, share) in leaf.bounds.items():
-                if j != i:
-                    sums[1:] = sums[1:] * share + sums[:-1] * kept[j]
-                    sums[0] *= share
-            parts = np.array([math.factorial(k) * math.factorial(d - k - 1) / math.factorial(d) for k in range(d)])
-            out[:, i] += leaf.value * (kept[i] - leaf.bounds[i][2]) * (parts @ sums)
-    return out
+        kept = [(columns[f] > a) & (columns[f] <= b) for f, (a, b, _) in leaf.bounds.items()]
+        if d > TABLED or 1 << d > len(x):
+            values, pattern = pattern_effects(leaf, np.array(kept, float).reshape(d, len(x))).T, slice(None)
+        else:
+            values = pattern_effects(leaf, (np.arange(1 << d) >> np.arange(d)[:, None] & 1).astype(float)).T
+            pattern = np.zeros(len(x), np.int16)
+            for k, o in enumerate(kept):
+                pattern += o.astype(np.int16) << k
+        for f, v in zip(leaf.bounds, values, strict=True):
+            out[f] += v[pattern]
+    return out.T
 
 
 def explain_trees(model, df: DataFrame, features: list[str], most: int | None = 1000, seed: int = 42) -> Explanation:

@@ -148,7 +148,7 @@ class ChurnPredictor:
         if kind == "rf":
             return Plain(self._forest(self.trees, 10).fit(train))
         if kind == "gb":
-            return Plain(self._boosted(self.trees, 5).fit(train))
+            return Plain(self._boosted(self.trees, 5).fit(prep.fewer_tasks(train.select("features", "label"), n)))
         if kind == "logistic":
             return Plain(LogisticRegression(maxIter=1000, regParam=1.0 / max(n, 1)).fit(train))
         if kind == "stacking":

@@ -7,10 +7,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.lineage import materialised
 from ..plans.selection import percentiles
 
 #: Rows that a task of many passes has about, at least and at most.
 TASK_ROWS = (2_000, 100_000)
+#: Rows of a task where hundreds of passes come one after another and each does little for a row.
+PASS_ROWS = 25_000
 
 
 def numeric_columns(df: DataFrame, exclude: tuple[str, ...] = ()) -> list[str]:
@@ -70,3 +73,11 @@ def dealt(df: DataFrame) -> DataFrame:
     rows, (least, most) = df.count(), TASK_ROWS
     parts = max(min(df.sparkSession.sparkContext.defaultParallelism, -(-rows // least)), -(-rows // most), 1)
     return df.repartition(parts, F.xxhash64(*df.columns)).sortWithinPartitions(*df.columns).cache()
+
+
+def fewer_tasks(df: DataFrame, rows: int) -> DataFrame:
+    """The ``rows`` rows in tasks of ``PASS_ROWS`` and no more tasks than before,
+    for fits that make hundreds of short passes one after another: with small tasks
+    their starts take longer than the passes.  A checkpoint spares each pass the
+    stages that made the rows."""
+    return materialised(df.coalesce(max(1, -(-rows // PASS_ROWS))))

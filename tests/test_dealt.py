@@ -31,3 +31,17 @@ def test_dealt_rows_are_all_there_and_large_tables_get_more_tasks(spark, monkeyp
     out = features.dealt(rows)
     assert out.rdd.getNumPartitions() == 15
     assert sorted(out.collect()) == sorted(rows.collect())
+
+
+def test_boosted_trees_are_fitted_in_few_tasks(spark, monkeypatch):
+    seen = []
+    fit = churn.GBTClassifier.fit
+    monkeypatch.setattr(churn.GBTClassifier, "fit", lambda self, x, *p: seen.append((x.rdd.getNumPartitions(), x.count())) or fit(self, x, *p))
+    monkeypatch.setattr(features, "TASK_ROWS", (500, 1000))
+    rows = features.dealt(customers(spark))
+    got = churn.ChurnPredictor(trees=3).train(rows, "churned", ["a", "b"], kind="gb")
+    monkeypatch.setattr(features, "PASS_ROWS", 1000)
+    churn.ChurnPredictor(trees=3).train(rows, "churned", ["a", "b"], kind="gb")
+    assert [parts for parts, _ in seen] == [1, 3]
+    assert seen[0][1] == seen[1][1] > 2000
+    assert got.metrics["roc_auc"] > 0.9

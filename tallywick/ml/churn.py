@@ -23,6 +23,8 @@ from .nested import prefix_scores
 MODELS = ("rf", "gb", "stacking", "logistic", "calibrated")
 #: Fits of folds that run side by side.
 FITS_AT_ONCE = 3
+#: Their fits make hundreds of short passes one after another.
+SHORT_PASSES = (GBTClassifier, MultilayerPerceptronClassifier)
 
 
 def _probability(df: DataFrame, out: str) -> DataFrame:
@@ -124,14 +126,20 @@ class ChurnPredictor:
             fold = fold + F.coalesce(F.col("_h") > c, F.lit(False)).cast("int")
         return marked.withColumn("_fold", fold).drop("_h").cache()
 
-    def _out_of_fold(self, train: DataFrame, estimators: list) -> DataFrame:
+    def _out_of_fold(self, train: DataFrame, estimators: list, rows: int) -> tuple[DataFrame, list]:
+        """The rows with the scores of the estimators fitted on the other folds, and
+        the estimators' models of all rows."""
+        # one checkpoint serves all fits of many short passes; forests take the rows as they are dealt
+        few = prep.fewer_tasks(train.select("features", "label", "_fold"), rows) if any(isinstance(e, SHORT_PASSES) for e in estimators) else None
+
         def fitted(task):
             k, e = task
-            return e.fit(train.where(F.col("_fold") != k))
+            x = few if isinstance(e, SHORT_PASSES) else train
+            return e.fit(x if k == self.folds else x.where(F.col("_fold") != k))
 
         # a fit leaves the cores idle while its driver grows the trees
         with ThreadPool(FITS_AT_ONCE) as pool:
-            models = pool.map(inheritable_thread_target(train.sparkSession)(fitted), [(k, e) for k in range(self.folds) for e in estimators], 1)
+            models = pool.map(inheritable_thread_target(train.sparkSession)(fitted), [(k, e) for k in range(self.folds + 1) for e in estimators], 1)
         parts = []
         for k in range(self.folds):
             rest = train.where(F.col("_fold") == k)
@@ -141,7 +149,7 @@ class ChurnPredictor:
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
-        return out
+        return out, models[self.folds * len(estimators) :]
 
     def fit_kind(self, train: DataFrame, kind: str):
         n = train.count()
@@ -155,14 +163,15 @@ class ChurnPredictor:
             width = len(train.first()["features"])
             bases = [self._forest(max(2, self.trees // 2), 8), self._boosted(max(2, self.trees // 2), 4), MultilayerPerceptronClassifier(layers=[width, 50, 25, 2], maxIter=100, seed=self.seed)]
             folded = self._folded(train)
-            held = self._out_of_fold(folded, bases).drop("features")
-            top = LogisticRegression(maxIter=1000, regParam=1.0 / max(n, 1)).fit(prep.vectors(held, [f"_b{i}" for i in range(len(bases))]))
-            return Stack([b.fit(train) for b in bases], top)
+            held, whole = self._out_of_fold(folded, bases, n)
+            held = prep.vectors(held.drop("features"), [f"_b{i}" for i in range(len(bases))])
+            top = LogisticRegression(maxIter=1000, regParam=1.0 / max(n, 1)).fit(prep.fewer_tasks(held.select("features", "label"), n))
+            return Stack(whole, top)
         if kind == "calibrated":
             forest = self._forest(self.trees, 10)
-            held = self._out_of_fold(self._folded(train), [forest])
+            held, whole = self._out_of_fold(self._folded(train), [forest], n)
             curve = IsotonicRegression(featuresCol="_raw", labelCol="_label", predictionCol="prediction").fit(held.select(F.col("_b0").alias("_raw"), F.col("label").cast("double").alias("_label")))
-            return Calibrated(forest.fit(train), curve)
+            return Calibrated(whole[0], curve)
         raise ValueError(f"unknown model {kind!r}; choose from {MODELS} or auto")
 
     def train(self, df: DataFrame, target: str, columns: list[str] | None = None, categorical: list[str] | None = None, kind: str = "auto") -> ChurnResult:

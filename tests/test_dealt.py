@@ -45,3 +45,16 @@ def test_boosted_trees_are_fitted_in_few_tasks(spark, monkeypatch):
     assert [parts for parts, _ in seen] == [1, 3]
     assert seen[0][1] == seen[1][1] > 2000
     assert got.metrics["roc_auc"] > 0.9
+
+
+def test_a_stack_fits_boosted_trees_and_perceptrons_in_few_tasks_and_each_base_on_all_rows(spark, monkeypatch):
+    seen = {}
+    for c in (churn.RandomForestClassifier, churn.GBTClassifier, churn.MultilayerPerceptronClassifier):
+        monkeypatch.setattr(c, "fit", lambda self, x, *p, fit=c.fit: seen.setdefault(type(self).__name__, []).append((x.rdd.getNumPartitions(), x.count())) or fit(self, x, *p))
+    monkeypatch.setattr(features, "TASK_ROWS", (500, 1000))
+    got = churn.ChurnPredictor(trees=2, folds=2).train(features.dealt(customers(spark)), "churned", ["a", "b"], kind="stacking")
+    whole = {max(n for _, n in fits) for fits in seen.values()}
+    assert len(seen) == 3 and len(whole) == 1 and whole.pop() > 2000
+    assert all(len(fits) == 3 and sum(n for _, n in fits) == 2 * max(n for _, n in fits) for fits in seen.values())
+    assert {p for name in ("GBTClassifier", "MultilayerPerceptronClassifier") for p, _ in seen[name]} == {1}
+    assert got.metrics["roc_auc"] > 0.9

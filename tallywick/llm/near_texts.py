@@ -15,8 +15,9 @@ Texts of one code are one node of the index if their sets are near that of the
 code's first text; sets that aren't get codes of their own, a few bits away.  A key's nodes come sorted from
 the shuffle and leave as a least spanning forest by differing bits, not as all
 pairs (but where there are four at most).  A key of over ``GROUP`` nodes passes in pieces, each with the key's first
-``PIVOTS`` nodes; what two pieces share beyond those is left to the other keys of
-the pair, which takes from the recall but from no count of rows.
+``PIVOTS`` nodes.  Once the forests' pairs are verified, every close pair of a key
+that a forest or a piece left out and whose nodes aren't of one class yet is
+verified too (``left_out``), so that no pair which shares a key is lost.
 
 A null text is an empty one, and texts without a word are copies of each other; a
 text of fewer words than a shingle has one shingle of all its words.  Rows are
@@ -193,8 +194,9 @@ def least_forest(codes: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
-def near_codes(codes: np.ndarray, start: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs among the groups of ``codes`` that begin at ``start``."""
+def near_codes(codes: np.ndarray, start: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Candidate pairs among the groups of ``codes`` that begin at ``start``, and
+    the groups that may have more close pairs than these."""
     size = np.diff(np.append(start, len(codes)))
     group = np.repeat(np.arange(len(start)), size)
     # nearly all groups hold strangers: which have a close pair is seen for all small groups at once
@@ -209,34 +211,47 @@ def near_codes(codes: np.ndarray, start: np.ndarray, limit: int) -> tuple[np.nda
         pair_b.append(i + d)
     i, j = np.concatenate(pair_a), np.concatenate(pair_b)
     alone = (close[group[i]] == 1) | (size[group[i]] <= 4)
-    out_a, out_b = [codes[i[alone]]], [codes[j[alone]]]
+    out_a, out_b, more = [codes[i[alone]]], [codes[j[alone]]], []
     for g in np.flatnonzero(((close > 1) & (size > 4)) | ~small):
         own = codes[start[g] : start[g] + size[g]]
         x, y = least_forest(own, limit)
         out_a.append(own[x])
         out_b.append(own[y])
-    return np.concatenate(out_a), np.concatenate(out_b)
+        # a forest of one edge leaves no other pair
+        if len(x) > 1 and not (small[g] and len(x) == close[g]):
+            more.append(g)
+    return np.concatenate(out_a), np.concatenate(out_b), np.array(more, np.int64)
 
 
 def _meet(limit: int, group: int, pivots: int):
-    """mapInArrow over rows sorted by (key, code): candidate pairs of each key."""
+    """mapInArrow over rows sorted by (key, code): candidate pairs (a, b) of each
+    key, and (a, null, key) for the codes of keys that may have more close pairs."""
 
     def run(batches):
         keys, codes = np.zeros(0, np.int64), np.zeros(0, np.uint64)
         first = None  # the first nodes of a key that passes in pieces
 
-        def pairs(keys, codes):
+        def members(keys, codes):
+            if len(keys):
+                none = pa.nulls(len(keys), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(codes.view(np.int64)), none, pa.array(keys)], ["a", "b", "key"])
+
+        def pairs(keys, codes, in_pieces=False):
             start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            a, b = near_codes(codes, start, limit)
+            a, b, more = near_codes(codes, start, limit)
+            if len(more) and not in_pieces:
+                of = np.isin(np.repeat(np.arange(len(start)), np.diff(np.append(start, len(keys)))), more)
+                yield from members(keys[of], codes[of])
             flip = a > b
             a, b = np.where(flip, b, a), np.where(flip, a, b)
             if len(a):
                 both = np.unique(np.stack([a, b]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(both[0].view(np.int64)), pa.array(both[1].view(np.int64))], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(both[0].view(np.int64)), pa.array(both[1].view(np.int64)), pa.nulls(both.shape[1], pa.int64())], ["a", "b", "key"])
 
         def piece(codes):
             whole = np.concatenate([first[1], codes])
-            yield from pairs(np.zeros(len(whole), np.int64), whole)
+            yield from members(np.full(len(codes), first[0], np.int64), codes)
+            yield from pairs(np.zeros(len(whole), np.int64), whole, True)
 
         for batch in batches:
             keys = np.concatenate([keys, np.asarray(batch.column(0))])
@@ -253,6 +268,7 @@ def _meet(limit: int, group: int, pivots: int):
                     continue
                 if end > group:
                     first = (keys[0], codes[:pivots])
+                    yield from members(keys[:pivots], codes[:pivots])
                     keys, codes = keys[pivots:], codes[pivots:]
                     continue
                 if end == len(keys):
@@ -273,7 +289,8 @@ def _meet(limit: int, group: int, pivots: int):
 
 
 def candidates(nodes: DataFrame, segments: int, bits: int, limit: int, group: int = GROUP, pivots: int = PIVOTS) -> DataFrame:
-    """(a, b): pairs of codes of ``nodes`` (code, sketch) that share a key and are close."""
+    """(a, b, null): pairs of codes of ``nodes`` (code, sketch) that share a key and
+    are close; (a, null, key): codes of keys that may have more of them."""
 
     def index(batches):
         for whole in batches:
@@ -284,7 +301,24 @@ def candidates(nodes: DataFrame, segments: int, bits: int, limit: int, group: in
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(np.asarray(batch.column(0)), keys.shape[1]))], ["key", "code"])
 
     keys = nodes.select("code", "sketch").mapInArrow(index, "key long, code long")
-    return keys.repartition("key").sortWithinPartitions("key", "code").mapInArrow(_meet(limit, group, pivots), "a long, b long")
+    return keys.repartition("key").sortWithinPartitions("key", "code").mapInArrow(_meet(limit, group, pivots), "a long, b long, key long")
+
+
+def left_out(members: DataFrame, roots: DataFrame, limit: int, group: int = GROUP) -> DataFrame:
+    """(a, b): the close pairs of ``members`` (key, code) that share a key and whose
+    classes (``roots``: node, root) differ.  A key's codes that aren't of its largest
+    class meet all its codes, in squares of about ``group`` by ``group`` each."""
+    named = members.join(roots.select(F.col("node").alias("code"), "root"), "code", "left").withColumn("root", F.coalesce("root", "code"))
+    classes = named.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("m"))
+    parts = lambda n: F.ceil(n / F.lit(group)).cast("long")
+    several = classes.where("n > m.n").select("key", F.col("m.root").alias("top"), parts(F.col("n") - F.col("m.n")).alias("rows"), parts(F.col("n")).alias("columns"))
+    found = written(named.join(several, "key"), "left-out")
+    place = lambda n: F.pmod(F.xxhash64("code"), n)
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    x = found.where("root <> top").select("key", F.col("code").alias("a"), F.col("root").alias("of_a"), place(F.col("rows")).alias("i"), each(F.col("columns")).alias("j"))
+    y = found.select("key", F.col("code").alias("b"), F.col("root").alias("of_b"), place(F.col("columns")).alias("j"), each(F.col("rows")).alias("i"))
+    met = x.join(y.hint("merge"), ["key", "i", "j"]).where((F.col("of_a") != F.col("of_b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= limit))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _jaccard(x: np.ndarray, y: np.ndarray) -> float:
@@ -339,23 +373,30 @@ def near_rows(keyed: DataFrame, keys: tuple[str, str], similarity: float = SIMIL
     moved = written(own.where("NOT leads").join(leads, "code").select("code", "of_set", "shingles", "y").mapInArrow(apart, "code long, of_set long, new long"), "codes-apart")
     recoded = lambda df: df.join(moved, ["code", "of_set"], "left").withColumn("code", F.coalesce("new", "code")).drop("new")
     nodes = written(recoded(each).groupBy("code").agg(F.min(F.struct(*keys, "of_set", "sketch")).alias("m")).select("code", "m.*"), "nodes")
-    found = candidates(nodes, segments, bits, code_limit(similarity), group).unionByName(small_pairs(recoded(each)))
-    pairs = written(found.distinct(), "candidates")
-    asked = pairs.select(F.col("a").alias("code")).unionByName(pairs.select(F.col("b").alias("code"))).distinct()
-    stand = written(nodes.join(asked, "code").select("code", *keys), "asked")
-
-    # merge joins at every size, so that a small table tells what a large one costs
-    own = texts.join(stand.hint("merge"), list(keys)).select("code", "text").dropDuplicates(["code"])
-    own = written(own.mapInArrow(sets, "code long, shingles binary"), "shingles")
+    limit = code_limit(similarity)
+    met = written(candidates(nodes, segments, bits, limit, group), "met")
 
     def verify(batches):
         for batch in batches:
             good = [_jaccard(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) >= similarity for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    both = pairs.join(own.select(F.col("code").alias("a"), F.col("shingles").alias("x")), "a").join(own.select(F.col("code").alias("b"), F.col("shingles").alias("y")), "b")
-    edges = both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
-    return recoded(sketched.drop("sketch", "parts")).drop("of_set"), components(edges).select(F.col("node").alias("code"), "root")
+    def verified(pairs):
+        """The pairs of codes whose sets are near."""
+        asked = pairs.select(F.col("a").alias("code")).unionByName(pairs.select(F.col("b").alias("code"))).distinct()
+        stand = written(nodes.join(asked, "code").select("code", *keys), "asked")
+        # merge joins at every size, so that a small table tells what a large one costs
+        own = texts.join(stand.hint("merge"), list(keys)).select("code", "text").dropDuplicates(["code"])
+        own = written(own.mapInArrow(sets, "code long, shingles binary"), "shingles")
+        both = pairs.join(own.select(F.col("code").alias("a"), F.col("shingles").alias("x")), "a").join(own.select(F.col("code").alias("b"), F.col("shingles").alias("y")), "b")
+        return both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
+
+    pairs = met.where("key IS NULL").select("a", "b").unionByName(small_pairs(recoded(each)))
+    roots = components(verified(written(pairs.distinct(), "candidates")))
+    rest = written(left_out(met.where("key IS NOT NULL").select("key", F.col("a").alias("code")), roots, limit, group), "candidates-left-out")
+    if not rest.isEmpty():
+        roots = components(roots.unionByName(verified(rest).toDF("node", "root")))
+    return recoded(sketched.drop("sketch", "parts")).drop("of_set"), roots.select(F.col("node").alias("code"), "root")
 
 
 def keep_first(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, bits: int | None = None, group: int = GROUP) -> DataFrame:

@@ -172,3 +172,33 @@ def test_codes_of_sets_that_are_far_apart():
 def _buffer(texts):
     raw = [t.encode() for t in texts]
     return np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+
+
+def _pairs(spark, codes, group, roots=()):
+    """All close pairs (3 bits) of codes that share every key."""
+    nodes = spark.createDataFrame([(c, bytearray(8)) for c in codes], "code long, sketch binary").repartition(3)
+    met = near_texts.candidates(nodes, 1, 20, 3, group, pivots=2)
+    rest = near_texts.left_out(met.where("key IS NOT NULL").selectExpr("key", "a AS code"), spark.createDataFrame(list(roots), "node long, root long"), 3, group)
+    found = {tuple(sorted(r)) for r in met.where("key IS NULL").select("a", "b").collect()}
+    return found, {tuple(sorted(r)) for r in rest.collect()}
+
+
+def test_pieces_of_a_key_lose_no_close_pair(spark):
+    rng = np.random.default_rng(13)
+    codes = rng.integers(1 << 40, 1 << 61, 60).tolist()
+    far = sorted(codes)[20]
+    codes.append(far ^ (1 << 62))  # one bit from it and in another piece
+    met, rest = _pairs(spark, codes, 8)
+    assert met | rest == {(far, far ^ (1 << 62))} and rest
+    assert _pairs(spark, codes, 8, [(far ^ (1 << 62), far)])[1] == set()
+
+
+def test_a_forest_leaves_no_close_pair_of_two_classes_out(spark):
+    base = np.random.default_rng(14).integers(1 << 40, 1 << 61, 20).tolist()
+    codes = [*base, base[0] ^ 1, base[0] ^ 2, base[0] ^ 4]
+    near = [base[0], *codes[20:]]
+    all_pairs = {tuple(sorted((a, b))) for a in near for b in near if a < b}
+    met, rest = _pairs(spark, codes, 1024)
+    assert len(met) == 3 and met | rest == all_pairs
+    # of one class: nothing is asked again
+    assert _pairs(spark, codes, 1024, [(c, base[0]) for c in codes[20:]])[1] == set()

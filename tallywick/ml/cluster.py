@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import vector_to_array
@@ -20,6 +22,8 @@ from .neighbours import density_clusters, squares
 
 #: Rows, or small clusters of rows, that are merged pairwise.
 WARD_MOST = 3_000
+#: Starts of k-means that run side by side.
+STARTS_AT_ONCE = 3
 ROW = "_row"
 
 
@@ -64,8 +68,15 @@ class ClusteringEngine:
     def kmeans(self, x: DataFrame, k: int) -> tuple[DataFrame, list[list[float]], float]:
         """The best of ``n_init`` starts by training cost."""
         best = None
-        for s in range(self.n_init):
-            model = KMeans(k=k, seed=self.seed + s, maxIter=300, featuresCol="features", predictionCol="cluster").fit(x)
+        x = x.cache()  # else each start reads and decodes the rows anew
+
+        def fitted(s):
+            return KMeans(k=k, seed=self.seed + s, maxIter=300, featuresCol="features", predictionCol="cluster").fit(x)
+
+        # a start's passes are short and come one after another
+        with ThreadPool(STARTS_AT_ONCE) as pool:
+            models = pool.map(inheritable_thread_target(x.sparkSession)(fitted), range(self.n_init), 1)
+        for model in models:
             if best is None or model.summary.trainingCost < best.summary.trainingCost:
                 best = model
         return best.transform(x), [c.tolist() for c in best.clusterCenters()], best.summary.trainingCost

@@ -58,3 +58,23 @@ def test_a_stack_fits_boosted_trees_and_perceptrons_in_few_tasks_and_each_base_o
     assert all(len(fits) == 3 and sum(n for _, n in fits) == 2 * max(n for _, n in fits) for fits in seen.values())
     assert {p for name in ("GBTClassifier", "MultilayerPerceptronClassifier") for p, _ in seen[name]} == {1}
     assert got.metrics["roc_auc"] > 0.9
+
+
+def test_starts_of_k_means_run_side_by_side_and_the_best_is_kept(spark, monkeypatch):
+    from threading import Barrier
+
+    from pyspark.ml.clustering import KMeans
+    from tallywick.ml.cluster import STARTS_AT_ONCE, ClusteringEngine
+
+    together, fit, costs = Barrier(STARTS_AT_ONCE, timeout=30), KMeans.fit, []
+
+    def fitted(self, x, *p):
+        together.wait()
+        model = fit(self, x, *p)
+        costs.append(model.summary.trainingCost)
+        return model
+
+    monkeypatch.setattr(KMeans, "fit", fitted)
+    x = features.vectors(customers(spark).where("a < 20"), ["a", "b"])
+    _, centres, cost = ClusteringEngine(n_init=STARTS_AT_ONCE).kmeans(x, 3)
+    assert len(centres) == 3 and len(costs) == STARTS_AT_ONCE and cost == min(costs)

@@ -17,7 +17,9 @@ the shuffle and leave as a least spanning forest by differing bits, not as all
 pairs (but where there are four at most).  A key of over ``GROUP`` nodes passes in pieces, each with the key's first
 ``PIVOTS`` nodes.  Once the forests' pairs are verified, every close pair of a key
 that a forest or a piece left out and whose nodes aren't of one class yet is
-verified too (``left_out``), so that no pair which shares a key is lost.
+verified too (``left_out``), so that no near pair which shares a key is lost.  In a
+large group of looser copies most such pairs are of sets that aren't near: pairs
+whose parity bits (``parities``) rule that out aren't made.
 
 A null text is an empty one, and texts without a word are copies of each other; a
 text of fewer words than a shingle has one shingle of all its words.  Rows are
@@ -31,7 +33,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -44,6 +46,8 @@ SEGMENT_BITS, GROUP, PIVOTS = 20, 1024, 16
 STRANGERS = 64
 #: Standard deviations of a code's differing bits that candidates may lie above the mean.
 SPREAD = 2.5
+#: Columns of 64 parity bits each.
+PARITY = [f"parity_{i}" for i in range(16)]
 
 
 def bit_share(similarity: float) -> float:
@@ -153,6 +157,27 @@ def sketches(keys: np.ndarray, first: np.ndarray, lanes: int, similarity: float
     return out
 
 
+def parities(keys: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """(texts, columns of ``PARITY``): bit i says whether the number of the set's
+    hashes that are i modulo the number of bits is odd.  Each bit in which two sets
+    differ there takes one shingle at least that only one of them has."""
+    bits = 64 * len(PARITY)
+    out = np.empty((len(first) - 1, len(PARITY)), np.uint64)
+    for lo in range(0, len(out), 256):
+        own = first[lo : lo + 257]
+        at = np.repeat(np.arange(len(own) - 1) * bits, np.diff(own)) + (keys[own[0] : own[-1]] % np.uint64(bits)).astype(np.int64)
+        odd = (np.bincount(at, minlength=(len(own) - 1) * bits) & 1).astype(np.uint8)
+        out[lo : lo + 256] = np.packbits(odd.reshape(-1, bits), axis=1).view(np.uint64)
+    return out
+
+
+def may_be_near(similarity: float) -> Column:
+    """Over ``size`` and ``PARITY`` of two sets, a's and b's: false only where their
+    similarity is less, since sets of that similarity differ in so many shingles at most."""
+    odd = [F.bit_count(F.col(f"a_{p}").bitwiseXOR(F.col(f"b_{p}"))) for p in PARITY]
+    return sum(odd[1:], odd[0]) <= (F.col("a_size") + F.col("b_size")) * F.lit((1 - similarity) / (1 + similarity)) + F.lit(1e-6)
+
+
 def flipped(code: np.ndarray, of_set: np.ndarray) -> np.ndarray:
     """The codes with up to three bits changed, which the set's hash names."""
     for k in range(3):
@@ -304,20 +329,25 @@ def candidates(nodes: DataFrame, segments: int, bits: int, limit: int, group: in
     return keys.repartition("key").sortWithinPartitions("key", "code").mapInArrow(_meet(limit, group, pivots), "a long, b long, key long")
 
 
-def left_out(members: DataFrame, roots: DataFrame, limit: int, group: int = GROUP) -> DataFrame:
+def left_out(members: DataFrame, roots: DataFrame, limit: int, group: int = GROUP, bounds: DataFrame | None = None, similarity: float = SIMILARITY) -> DataFrame:
     """(a, b): the close pairs of ``members`` (key, code) that share a key and whose
-    classes (``roots``: node, root) differ.  A key's codes that aren't of its largest
-    class meet all its codes, in squares of about ``group`` by ``group`` each."""
+    classes (``roots``: node, root) differ, without those of which ``bounds`` (code,
+    size, ``PARITY``) tells that they aren't near.  A key's codes that aren't of its
+    largest class meet all its codes, in squares of about ``group`` by ``group`` each."""
     named = members.join(roots.select(F.col("node").alias("code"), "root"), "code", "left").withColumn("root", F.coalesce("root", "code"))
     classes = named.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("m"))
     parts = lambda n: F.ceil(n / F.lit(group)).cast("long")
     several = classes.where("n > m.n").select("key", F.col("m.root").alias("top"), parts(F.col("n") - F.col("m.n")).alias("rows"), parts(F.col("n")).alias("columns"))
-    found = written(named.join(several, "key"), "left-out")
+    found = named.join(several, "key")
+    told = ["size", *PARITY] if bounds is not None else []
+    found = written(found.join(bounds.select("code", *told), "code") if told else found, "left-out")
     place = lambda n: F.pmod(F.xxhash64("code"), n)
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
-    x = found.where("root <> top").select("key", F.col("code").alias("a"), F.col("root").alias("of_a"), place(F.col("rows")).alias("i"), each(F.col("columns")).alias("j"))
-    y = found.select("key", F.col("code").alias("b"), F.col("root").alias("of_b"), place(F.col("columns")).alias("j"), each(F.col("rows")).alias("i"))
+    side = lambda s: [F.col("code").alias(s), F.col("root").alias(f"of_{s}"), *[F.col(c).alias(f"{s}_{c}") for c in told]]
+    x = found.where("root <> top").select("key", *side("a"), place(F.col("rows")).alias("i"), each(F.col("columns")).alias("j"))
+    y = found.select("key", *side("b"), place(F.col("columns")).alias("j"), each(F.col("rows")).alias("i"))
     met = x.join(y.hint("merge"), ["key", "i", "j"]).where((F.col("of_a") != F.col("of_b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= limit))
+    met = met.where(may_be_near(similarity)) if told else met
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -336,14 +366,15 @@ def near_rows(keyed: DataFrame, keys: tuple[str, str], similarity: float = SIMIL
     bits = bits or max(SEGMENT_BITS, math.ceil(math.log2(max(total, 1) / STRANGERS)))
     segments = segments_needed(bits, similarity)
     lanes = 1 + -(-segments * bits // 64)
+    told = ["size", *PARITY]
 
     def sketch(batches):
         for whole in batches:
             for batch in slices(whole, "text"):
                 found = shingle_sets(*utf8(batch.column(3)), shingle)
                 s = sketches(*found, lanes, similarity)
-                codes = [pa.array(x.copy().view(np.int64)) for x in (s[:, 0], set_hashes(*found))]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:3], *codes, pa.array([x.tobytes() for x in s[:, 1:]], pa.binary()), pa.array(without_one(*found, similarity), pa.binary())], [*keys, "doc_id", "code", "of_set", "sketch", "parts"])
+                longs = [pa.array(x.copy().view(np.int64)) for x in (s[:, 0], set_hashes(*found), np.diff(found[1]), *parities(*found).T)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], *longs, pa.array([x.tobytes() for x in s[:, 1:]], pa.binary()), pa.array(without_one(*found, similarity), pa.binary())], [*keys, "doc_id", "code", "of_set", *told, "sketch", "parts"])
 
     def sets(batches):
         for whole in batches:
@@ -352,13 +383,13 @@ def near_rows(keyed: DataFrame, keys: tuple[str, str], similarity: float = SIMIL
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([h[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())], [*batch.schema.names[:-1], "shingles"])
 
     texts = keyed.select(*keys, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketched = written(texts.mapInArrow(sketch, f"{keys[0]} long, {keys[1]} long, doc_id long, code long, of_set long, sketch binary, parts binary"), "sketches")
+    sketched = written(texts.mapInArrow(sketch, f"{keys[0]} long, {keys[1]} long, doc_id long, code long, of_set long, {', '.join(f'{c} long' for c in told)}, sketch binary, parts binary"), "sketches")
     # one row stands for the texts of a set
-    each = written(sketched.groupBy("code", "of_set").agg(F.min(F.struct(*keys, "sketch", "parts")).alias("m")).select("code", "of_set", "m.*"), "sets")
+    each = written(sketched.groupBy("code", "of_set").agg(F.min(F.struct(*keys, "sketch", "parts", *told)).alias("m")).select("code", "of_set", "m.*"), "sets")
 
     # of a code's sets those that aren't near its first get codes of their own
     mixed = each.groupBy("code").agg(F.count("*").alias("n"), F.min(F.struct(*keys)).alias("first")).where("n > 1").select("code", "first")
-    asked = each.drop("sketch", "parts").join(mixed, "code")
+    asked = each.select("code", "of_set", *keys).join(mixed, "code")
     own = texts.join(asked, list(keys)).select("code", "of_set", (F.struct(*keys) == F.col("first")).alias("leads"), "text").dropDuplicates(["code", "of_set"])
     own = written(own.mapInArrow(sets, "code long, of_set long, leads boolean, shingles binary"), "mixed-codes")
 
@@ -372,7 +403,7 @@ def near_rows(keyed: DataFrame, keys: tuple[str, str], similarity: float = SIMIL
     leads = own.where("leads").select("code", F.col("shingles").alias("y"))
     moved = written(own.where("NOT leads").join(leads, "code").select("code", "of_set", "shingles", "y").mapInArrow(apart, "code long, of_set long, new long"), "codes-apart")
     recoded = lambda df: df.join(moved, ["code", "of_set"], "left").withColumn("code", F.coalesce("new", "code")).drop("new")
-    nodes = written(recoded(each).groupBy("code").agg(F.min(F.struct(*keys, "of_set", "sketch")).alias("m")).select("code", "m.*"), "nodes")
+    nodes = written(recoded(each).groupBy("code").agg(F.min(F.struct(*keys, "of_set", "sketch", *told)).alias("m")).select("code", "m.*"), "nodes")
     limit = code_limit(similarity)
     met = written(candidates(nodes, segments, bits, limit, group), "met")
 
@@ -393,10 +424,10 @@ def near_rows(keyed: DataFrame, keys: tuple[str, str], similarity: float = SIMIL
 
     pairs = met.where("key IS NULL").select("a", "b").unionByName(small_pairs(recoded(each)))
     roots = components(verified(written(pairs.distinct(), "candidates")))
-    rest = written(left_out(met.where("key IS NOT NULL").select("key", F.col("a").alias("code")), roots, limit, group), "candidates-left-out")
+    rest = written(left_out(met.where("key IS NOT NULL").select("key", F.col("a").alias("code")), roots, limit, group, nodes, similarity), "candidates-left-out")
     if not rest.isEmpty():
         roots = components(roots.unionByName(verified(rest).toDF("node", "root")))
-    return recoded(sketched.drop("sketch", "parts")).drop("of_set"), roots.select(F.col("node").alias("code"), "root")
+    return recoded(sketched.drop("sketch", "parts", *told)).drop("of_set"), roots.select(F.col("node").alias("code"), "root")
 
 
 def keep_first(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, bits: int | None = None, group: int = GROUP) -> DataFrame:

@@ -202,3 +202,43 @@ def test_a_forest_leaves_no_close_pair_of_two_classes_out(spark):
     assert len(met) == 3 and met | rest == all_pairs
     # of one class: nothing is asked again
     assert _pairs(spark, codes, 1024, [(c, base[0]) for c in codes[20:]])[1] == set()
+
+
+def test_parities_rule_out_no_near_pair():
+    rng = np.random.default_rng(15)
+    texts = []
+    for k, edits in enumerate([0, 1, 2, 3, 4, 6, 9, 14, 20] * 6):
+        w = [f"base{k % 3}x{x}" for x in range((20, 150, 900)[k % 3])]
+        for p in rng.choice(len(w), min(edits, len(w) // 2), replace=False):
+            w[p] = "other%d" % rng.integers(1000)
+        texts.append(" ".join(w))
+    texts += ["", "one"]
+    keys, first = near_texts.shingle_sets(*_buffer(texts))
+    bits = np.bitwise_count(near_texts.parities(keys, first)[:, None] ^ near_texts.parities(keys, first)[None]).sum(axis=2)
+    sets = [set(keys[a:b].tolist()) for a, b in zip(first[:-1], first[1:], strict=True)]
+    apart = np.array([[len(x ^ y) for y in sets] for x in sets])
+    size = np.diff(first)
+    near = apart <= (size[:, None] + size) / 9
+    assert (bits <= apart).all() and near.sum() > 2 * len(texts)
+    ruled_out = bits > (size[:, None] + size) / 9
+    assert ruled_out.sum() > 0.7 * (~near).sum()
+
+
+def test_looser_copies_are_not_paired_with_all_others(spark, monkeypatch):
+    """Copies of one text with so many edits that no two are near."""
+    rng = np.random.default_rng(16)
+    base = [f"word{i}" for i in rng.integers(0, 5000, 150)]
+    texts = []
+    for k in range(300):
+        w = list(base)
+        for p in rng.choice(150, 2 if k < 150 else 6, replace=False):
+            w[p] = "other%d" % rng.integers(10**6)
+        texts.append(" ".join(w))
+    made = {}
+    real = near_texts.written
+    monkeypatch.setattr(near_texts, "written", lambda df, name: made.setdefault(name, real(df, name)))
+    # keys of few bits, so that the copies share them
+    kept = sorted(r.doc_id for r in near_texts.keep_first(documents(spark, texts), bits=4).collect())
+    assert made["left-out"].select("code").distinct().count() > 200
+    assert kept == sorted({*classes(texts)})
+    assert made["candidates-left-out"].count() < 5 * len(texts)

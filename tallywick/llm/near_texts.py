@@ -33,7 +33,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -334,13 +334,16 @@ def left_out(members: DataFrame, roots: DataFrame, limit: int, group: int = GROU
     classes (``roots``: node, root) differ, without those of which ``bounds`` (code,
     size, ``PARITY``) tells that they aren't near.  A key's codes that aren't of its
     largest class meet all its codes, in squares of about ``group`` by ``group`` each."""
-    named = members.join(roots.select(F.col("node").alias("code"), "root"), "code", "left").withColumn("root", F.coalesce("root", "code"))
-    classes = named.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("m"))
-    parts = lambda n: F.ceil(n / F.lit(group)).cast("long")
-    several = classes.where("n > m.n").select("key", F.col("m.root").alias("top"), parts(F.col("n") - F.col("m.n")).alias("rows"), parts(F.col("n")).alias("columns"))
-    found = named.join(several, "key")
     told = ["size", *PARITY] if bounds is not None else []
-    found = written(found.join(bounds.select("code", *told), "code") if told else found, "left-out")
+    known = roots.select(F.col("node").alias("code"), "root")
+    known = bounds.select("code", *told).join(known, "code", "left") if told else known
+    named = members.join(known, "code", "left").withColumn("root", F.coalesce("root", "code"))
+    # each member beside what its key holds: one shuffle, by key
+    parts = lambda n: F.ceil(n / F.lit(group)).cast("long")
+    counted = named.withColumns({"n": F.count("*").over(Window.partitionBy("key")), "own": F.count("*").over(Window.partitionBy("key", "root"))})
+    counted = counted.withColumn("m", F.max(F.struct("own", "root")).over(Window.partitionBy("key"))).where("n > m.own")
+    found = counted.select("key", "code", "root", *told, F.col("m.root").alias("top"), parts(F.col("n") - F.col("m.own")).alias("rows"), parts(F.col("n")).alias("columns"))
+    found = written(found, "left-out")
     place = lambda n: F.pmod(F.xxhash64("code"), n)
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
     side = lambda s: [F.col("code").alias(s), F.col("root").alias(f"of_{s}"), *[F.col(c).alias(f"{s}_{c}") for c in told]]

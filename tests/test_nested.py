@@ -51,3 +51,54 @@ def test_grid_points_come_from_one_fit_each(x, monkeypatch):
     assert best.getNumTrees == max(table, key=lambda t: t[1])[0]["numTrees"] and all(a > 0.8 for _, a in table)
     with pytest.raises(ValueError, match="no grid"):
         churn.ChurnPredictor().grid_search(x, "label", kind="logistic")
+
+
+def test_first_levels_are_the_forest_of_that_depth(x):
+    """Equal to the score of a forest fitted with the smaller depth, leaves of one class merged."""
+    for strategy in ("sqrt", "all"):
+        forest = lambda depth: RandomForestClassifier(numTrees=9, maxDepth=depth, seed=3, featureSubsetStrategy=strategy).fit(x)  # noqa: B023, E731
+        deep = forest(9)
+        got = nested.prefix_scores(deep, x, [4, 9], ["id", "label"], [1, 2, 5, 9, 12]).orderBy("id").toPandas()
+        for depth in (1, 2, 5, 9):
+            assert np.allclose(got[f"score_9_{depth}"], scores(forest(depth), x)), depth
+        assert (got.score_9_12 == got.score_9_9).all() and (got.score_4_5 != got.score_9_5).any()
+    with pytest.raises(ValueError, match="boosted"):
+        nested.prefix_scores(GBTClassifier(maxIter=2, maxDepth=2).fit(x), x, [2], ["id"], [1])
+
+
+def test_areas_of_several_scores_are_those_of_each(spark, x):
+    from tallywick.ml import metrics
+
+    rows = x.select("label", "a", "b", F.round("b", 1).alias("tied"), F.lit(1.0).alias("same"))
+    want = [metrics.roc_auc(rows, score=c).first()[0] for c in ("a", "b", "tied", "same")]
+    assert np.allclose(metrics.roc_auc_each(rows, ["a", "b", "tied", "same"]), want) and want[3] == 0.5
+    assert metrics.roc_auc_each(rows.where("label = 1"), ["a"]) == [None] and metrics.roc_auc_each(rows.limit(0), ["a", "b"]) == [None, None]
+
+
+def test_the_whole_grid_has_every_point(x, monkeypatch):
+    fits = []
+    fit = RandomForestClassifier.fit
+    monkeypatch.setattr(RandomForestClassifier, "fit", lambda self, rows, p: fits.append({k.name: v for k, v in p.items()}) or fit(self, rows, p))
+    rows = x.select("a", "b", "label").where("id % 3 = 0")
+    _, table = churn.ChurnPredictor(folds=2).grid_search(rows, "label", ["a", "b"])
+    points = [tuple(p[n] for n in ("numTrees", "maxDepth", "minInstancesPerNode", "featureSubsetStrategy")) for p, _ in table]
+    assert len(table) == len(set(points)) == 3 * 4 * 3 * 3
+    # of two columns sqrt means 2, log2 1 and all 2: two fits for each least number of rows and fold, and the best
+    assert len(fits) == 3 * 2 * 2 + 1 and {f["maxDepth"] for f in fits[:-1]} == {20} and {f["numTrees"] for f in fits[:-1]} == {200}
+    areas = dict(zip(points, (a for _, a in table), strict=True))
+    assert len({areas[200, d, 1, "all"] for d in (5, 10, 15, 20)}) > 1 and all(a > 0.7 for a in areas.values())
+
+
+def test_the_registered_grid_is_the_whole_one(spark, monkeypatch):
+    from tallywick.plans import catalogue
+
+    asked = {}
+
+    def grid(self, df, target, columns=None, **options):
+        asked.update(options, folds=self.folds)
+        return None, [({"numTrees": 50, "maxDepth": 5, "minInstancesPerNode": 1, "featureSubsetStrategy": "all"}, 0.5)]
+
+    monkeypatch.setattr(churn.ChurnPredictor, "grid_search", grid)
+    monkeypatch.setattr(catalogue, "_customers", lambda spark, sf_dir: None)
+    assert catalogue.queries()["grid_search"](spark, "").collect()[0].asDict() == {"trees": 50, "depth": 5, "least_rows": 1, "features": "all", "auc": 0.5}
+    assert asked == {"folds": 5}

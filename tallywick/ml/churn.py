@@ -21,7 +21,7 @@ from .nested import prefix_scores
 
 MODELS = ("rf", "gb", "stacking", "logistic", "calibrated")
 #: Fits of folds that run side by side.
-FITS_AT_ONCE = 3
+FITS_AT_ONCE = 6
 #: Their fits make hundreds of short passes one after another.
 SHORT_PASSES = (GBTClassifier, MultilayerPerceptronClassifier)
 

@@ -78,3 +78,17 @@ def test_starts_of_k_means_run_side_by_side_and_the_best_is_kept(spark, monkeypa
     x = features.vectors(customers(spark).where("a < 20"), ["a", "b"])
     _, centres, cost = ClusteringEngine(n_init=STARTS_AT_ONCE).kmeans(x, 3)
     assert len(centres) == 3 and len(costs) == STARTS_AT_ONCE and cost == min(costs)
+
+
+def test_the_registered_stack_has_production_parameters(spark, monkeypatch):
+    """50 trees and rounds in each base model, scores of 5 folds, all rows."""
+    from tallywick.plans import catalogue
+
+    seen = []
+    for c in (churn.RandomForestClassifier, churn.GBTClassifier, churn.MultilayerPerceptronClassifier):
+        size = lambda e: e.getNumTrees() if isinstance(e, churn.RandomForestClassifier) else e.getMaxIter()
+        monkeypatch.setattr(c, "fit", lambda self, x, *p, size=size: seen.append((type(self).__name__, size(self))) or churn.LogisticRegression().fit(x))
+    rows = customers(spark).where("a < 40")
+    monkeypatch.setattr(catalogue, "_customers", lambda spark, sf_dir: rows.withColumnRenamed("customer", "customer_id").withColumns({c: rows.a + k * rows.b for k, c in enumerate(catalogue.CHURN_FEATURES)}))
+    assert catalogue.queries()["stacking_fit"](spark, "").count() == rows.count() > 1000
+    assert sorted(seen) == sorted([("RandomForestClassifier", 50), ("GBTClassifier", 50), ("MultilayerPerceptronClassifier", 100)] * 6)

@@ -312,3 +312,66 @@ def test_remembered_words_have_the_same_ids(monkeypatch):
                 got = sub.encode(np.frombuffer(t, np.uint8), np.array([0, len(t)]))
                 assert all((a == b).all() and len(a) == len(b) for a, b in zip(got, want, strict=True))
         assert len(sub.known) <= most
+
+
+def test_every_text_is_learned_from_by_steps_of_its_own(monkeypatch):
+    """A walk over texts lowers their loss by more than one step over all of them does,
+    and a text of so many copies counts so often."""
+    net, _ = small_net(monkeypatch)
+    rng = np.random.default_rng(12)
+    first = np.arange(0, 8001, 40)
+    other = (np.cumsum(rng.integers(1, 3, 8000)) * 7 % 39).astype(np.int32)
+    arrays = net.p | {f"squares_{n}": a for n, a in net.squares.items()}
+    monkeypatch.setattr(lm, "STEP_IDS", 400)
+    monkeypatch.setattr(lm, "ANCHOR", 400)
+    monkeypatch.setattr(lm, "RENEW", 4)
+    walk, learner = lm.Walk(arrays, 40), lm.Learner(net, 40)
+    walk.take(other, first, np.ones(200, np.int64))
+    learner.take(other, first)
+    assert walk.steps == 20 and walk.ids == 8000 and (walk.met[:39] == np.bincount(other, minlength=39)).all()
+    own = np.arange(40)
+    assert np.allclose(walk.counts(own).sum(axis=1), np.bincount(other, minlength=40), atol=1e-2)
+    loss = lambda p: -np.log(lm.score_ids(lm.Attention(40, arrays=p), other, first, 40)).mean()
+    once = loss(net.p | lm.moved(arrays, learner.slopes, learner.flat(), len(other)) | {"m": lm.maximised(learner.seen)})
+    assert loss(net.p | walk.now | {"emb": walk.emb, "m": lm.maximised(walk.seen)}) < once - 0.02
+
+    monkeypatch.setattr(lm, "STEP_IDS", 1 << 13)
+    copies = rng.integers(1, 4, 10)
+    one, each = lm.Walk(arrays, 40), lm.Walk(arrays, 40)
+    one.take(other[:400], first[:11], copies)
+    each.take(np.concatenate([np.tile(other[40 * i : 40 * i + 40], n) for i, n in enumerate(copies)]), np.arange(0, 40 * copies.sum() + 1, 40), np.ones(copies.sum(), np.int64))
+    assert one.ids == each.ids and (one.met == each.met).all()
+    assert np.allclose(one.seen, each.seen, atol=1e-3) and np.allclose(one.flat(), each.flat(), atol=0.05) and np.allclose(one.moves(own), each.moves(own), atol=0.05)
+
+
+def test_blocks_of_all_texts_move_the_network_together(spark, monkeypatch):
+    """The network and its distributions are those of the blocks' walks, averaged; a step over all texts gave others."""
+    monkeypatch.setattr(lm, "EPOCHS", 1)
+    monkeypatch.setattr(lm, "LEARN_BYTES", 1500)
+    rng = np.random.default_rng(13)
+    texts = [" ".join(rng.choice("an er th in ed ti on re".split(), 30)) for _ in range(60)]
+    walks = []
+    distributions = lm.distributions
+
+    def kept(rows, arrays, tokenizer):
+        start = {n: a.copy() for n, a in arrays.items()}
+        hashed = rows.select(F.xxhash64("doc_id", "text").alias("h"), "text").orderBy("h").toPandas()
+        blocks = lm.block_count(spark, int(hashed.text.str.len().sum()), lm.LEARN_BYTES)
+        for _, block in hashed.groupby(hashed.h % blocks):
+            walk, data = lm.Walk(start, lm.Subwords().pad), [t.encode() for t in block.text]
+            ids, first, _ = lm.Subwords().encode(np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in data])]))
+            walk.take(ids, first, np.ones(len(block), np.int64))
+            walks.append(walk)
+        return distributions(rows, arrays, tokenizer)
+
+    monkeypatch.setattr(lm, "distributions", kept)
+    got = lm.train(documents(spark, texts), F.lit(True), sample_docs=5)
+    assert len(walks) > 2
+    ids, met = sum(w.ids for w in walks), np.maximum(sum(w.met for w in walks), 1)
+    start, own = walks[0].start, np.arange(len(met))
+    for n in ("u", "q", "bias"):
+        assert np.allclose(got[n], start[n] + sum((w.now[n] - start[n]) * w.ids for w in walks) / ids, atol=1e-3), n
+        assert np.abs(got[n] - start[n]).max() > 1e-3
+    assert np.allclose(got["emb"], start["emb"] + sum(w.moves(own) for w in walks) / met[:, None], atol=1e-3)
+    assert np.allclose(got["m"], lm.maximised(sum(w.counts(own) for w in walks)), rtol=1e-2, atol=1e-4)
+    assert not [n for n in got if n.startswith("squares_")] and got["tokens"] == 60 * 31
